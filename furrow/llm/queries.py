@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import decontaminate, mixing
+from furrow.llm import decontaminate, html_text, mixing, order_minhash, quality
 from furrow.llm.shared import table
 from furrow.llm.sql import SQL
 
@@ -26,4 +26,27 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources)}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.assess(docs).select(
+        "doc_id",
+        *(
+            f"quality.{c}"
+            for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        ),
+    )
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return order_minhash.classes(docs).select("doc_id", "class_id", "class_size")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_mix_sources, op3_quality, op4_near_duplicates, op5_main_text)
+}
