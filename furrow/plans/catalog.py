@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "c19_final_summary"
+from furrow.plans import kernels, models, relational, scalar, splits, statistics  # noqa: F401
+from furrow.plans.registry import QUERIES, SQL
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
+
+FLAGSHIP = "s01_full_scan"
