@@ -489,7 +489,7 @@ def r04_array_to_tall(t: Tables) -> DataFrame:
     return tall.where("v > 0").select("vec_id", "pos", rounded(F.col("v").cast("double")).alias("v"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber) AS q FROM lineitem GROUP BY 1), m AS (SELECT max(len(q)) AS n FROM l)
+@query("""WITH l AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY 1), m AS (SELECT max(len(q)) AS n FROM l)
           SELECT l_orderkey, array_to_string(list_transform(range(1, n + 1), lambda i: CAST(CAST(CASE WHEN i <= len(q) THEN q[i] ELSE 0 END AS INTEGER) AS VARCHAR)), ',') AS padded, CAST(len(q) AS INTEGER) AS kept FROM l, m""")
 def r05_pad_and_mask(t: Tables) -> DataFrame:
     out = R.pad(t("lineitem", "l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", "l_linenumber", "l_quantity")
