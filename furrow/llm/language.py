@@ -56,7 +56,7 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     """n rows of -1 and 1. Up to five languages get the exhaustive code, more get random words kept far apart."""
     if n <= 5:
         bits = max(1, 2 ** (n - 1) - 1)
-        columns = [[1 if i == 0 else 1 if (b + 1) >> (i - 1) & 1 else -1 for i in range(n)] for b in range(bits)]
+        columns = [[1 if i == 0 else 1 if b >> (i - 1) & 1 else -1 for i in range(n)] for b in range(bits)]
         return -np.array([[c[i] for c in columns] for i in range(n)])
     rng, best, apart = np.random.default_rng(seed), None, -1
     for _ in range(50):

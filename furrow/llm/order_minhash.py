@@ -30,11 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.components import components
-from furrow.llm.shared import settle
+from furrow.llm.shared import free_name, settle
 from furrow.llm.words import mix64, occurrence_labelled, shingle_hashes, utf8, word_hashes
 
 K = 5
@@ -195,6 +195,11 @@ def links_between(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"])
 
 
+def copy_of(text: str, doc_id: str) -> Column:
+    """128 bits that rows share if both id and text are equal."""
+    return F.md5(F.to_json(F.struct(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"))))
+
+
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, copy, class_id, class_size): one row for each row of docs; rows of one class are near-duplicates of each other, directly or in a chain.
 
@@ -203,7 +208,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     its own id, an empty text joins equal texts only. An empty table gives an
     empty result.
     """
-    copy = F.md5(F.to_json(F.struct(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"))))
+    copy = copy_of(text, doc_id)
     seen = settle(
         docs.select(
             F.col(doc_id).alias("doc_id"), copy.alias("copy"), F.arrow_udf(sketched, SKETCHED)(F.col(text)).alias("s")
@@ -275,14 +280,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     Rows that share id and text count as copies: one of them stays.
     """
-    found = classes(docs, text, doc_id)
-    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("best"))
-    stay = settle(
-        found.groupBy("class", "copy").agg(F.count("*").alias("copies"))
-        .join(best, "class").where(F.col("copy") == F.col("best.copy")).select(F.col("copy").alias("stay_copy"), "copies")
+    found = settle(classes(docs, text, doc_id))
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy"))["copy"].alias("best"))
+    counted = found.groupBy("class", "copy").agg(F.count("*").alias("copies"))
+    stay = free_name(docs, "stay")
+    chosen = settle(
+        counted.join(best, "class").where(F.col("copy") == F.col("best")).select(F.struct("copy", "copies").alias(stay))
     )
-    copy = F.md5(F.to_json(F.struct(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"))))
-    left = docs.join(stay, copy == F.col("stay_copy"))
-    single = left.where("copies = 1").select(*(docs[c] for c in docs.columns))
-    several = left.where("copies > 1").dropDuplicates(["stay_copy"]).select(*(docs[c] for c in docs.columns))
+    left = docs.join(chosen, copy_of(text, doc_id) == F.col(f"{stay}.copy"))
+    single = left.where(F.col(f"{stay}.copies") == 1).drop(stay)
+    several = left.where(F.col(f"{stay}.copies") > 1).dropDuplicates([stay]).drop(stay)
     return single.unionByName(several)
