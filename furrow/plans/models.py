@@ -1 +1,366 @@
-"""Queries."""
+"""Queries without an SQL twin: iterative and stochastic estimators, files, registries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from furrow.functions.exprs import days_between, hash_order, rounded
+from furrow.operators import curves as CU
+from furrow.operators import kernels as K
+from furrow.operators import models as M
+from furrow.operators import registry as E
+from furrow.plans.kernels import dosages, vectors
+from furrow.plans.registry import Tables, query
+from furrow.sources import files as FS
+
+
+def curves(t: Tables) -> DataFrame:
+    at = days_between("ts", F.lit("2024-01-01").cast("timestamp"))
+    return t("events", "event_type", "user_id", "ts", "value").select("event_type", "user_id", at.alias("t"), F.col("value").alias("y"))
+
+
+def _model(df: DataFrame) -> DataFrame:
+    return CU.fit(df, "event_type", "user_id", "t", "y")
+
+
+@query()
+def f01_sparse_fpca(t: Tables) -> DataFrame:
+    return _model(curves(t))
+
+
+@query()
+def f02_conditional_scores(t: Tables) -> DataFrame:
+    return CU.scores(curves(t), _model(curves(t)), "event_type", "user_id", "t", "y")
+
+
+@query()
+def f04_projected_scores(t: Tables) -> DataFrame:
+    """Held-out curves under a model of the others."""
+    train, held = curves(t).where("user_id % 5 != 0"), curves(t).where("user_id % 5 = 0")
+    return CU.scores(held, _model(train), "event_type", "user_id", "t", "y")
+
+
+@query()
+def f06_channel_batch(t: Tables) -> DataFrame:
+    found = CU.scores(curves(t), _model(curves(t)), "event_type", "user_id", "t", "y")
+    return found.select("event_type", "user_id", F.posexplode("xi").alias("component", "score"))
+
+
+def _plots(t: Tables) -> DataFrame:
+    return t("events", "event_type", "user_id", "ts", "value").select(
+        "event_type", (F.col("user_id") % 40).alias("genotype"), F.dayofweek("ts").alias("range"), F.pmod(F.col("user_id"), F.lit(7)).alias("rep"), "value")
+
+
+@query()
+def f08_blues(t: Tables) -> DataFrame:
+    return M.blues(_plots(t), "event_type", "genotype", ["range", "rep"], "value")
+
+
+@query()
+def f09_variance_components(t: Tables) -> DataFrame:
+    return M.variance_components(_plots(t), "event_type", ["genotype", "range", "rep"], "value")
+
+
+@query()
+def f10_principal_components(t: Tables) -> DataFrame:
+    x = vectors(t, 1 << 40)
+    return M.eigen_projection(K.scaled_features(x, "id", "embedding"), "z", "id", 3)
+
+
+@query()
+def l04_kernel_eigen(t: Tables) -> DataFrame:
+    values, _ = M.eigen(vectors(t, 1 << 40), "embedding", 10)
+    return t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, value double")
+
+
+@query()
+def l06_eigen_projection(t: Tables) -> DataFrame:
+    return M.eigen_projection(vectors(t, 1 << 40), "embedding", "id", 10)
+
+
+@query()
+def n05_relationship_features(t: Tables) -> DataFrame:
+    return M.eigen_projection(dosages(t, 1 << 40).withColumn("d", F.transform("d", lambda v: v.cast("double"))), "d", "id", 5)
+
+
+@query()
+def n10_genotype_probabilities(t: Tables) -> DataFrame:
+    observed = F.transform("d", lambda v: F.when(v != 1, (v / 2).cast("int")))
+    return M.state_probabilities(dosages(t).withColumn("o", observed), "id", "o")
+
+
+def _traits(t: Tables) -> DataFrame:
+    long = vectors(t, 400).select("id", F.get("embedding", F.lit(0)).cast("double").alias("t0"), (F.get("embedding", F.lit(1)) + F.get("embedding", F.lit(2))).cast("double").alias("t1"))
+    return long.unpivot(["id"], ["t0", "t1"], "trait", "y")
+
+
+def _tall(t: Tables) -> DataFrame:
+    return dosages(t, 400).select("id", F.posexplode("d").alias("locus", "d"))
+
+
+@query()
+def n11_genome_scan(t: Tables) -> DataFrame:
+    return M.marker_scan(_tall(t), _traits(t), "id")
+
+
+@query()
+def n12_permutation_threshold(t: Tables) -> DataFrame:
+    """95 % quantile of the largest LOD under permuted responses."""
+    dealt = M.permuted(_traits(t), "id", 40, 3).withColumn("trait", F.concat_ws("#", "trait", F.col("perm").cast("string")))
+    scan = M.marker_scan(_tall(t), dealt, "id")
+    top = scan.groupBy(F.split("trait", "#")[0].alias("phenotype"), "trait").agg(F.max("lod").alias("lod"))
+    return top.groupBy("phenotype").agg(F.percentile("lod", F.lit(0.95)).alias("threshold"))
+
+
+@query()
+def n15_blup_at_peaks(t: Tables) -> DataFrame:
+    """Shrunken genotype-class means at each trait's best locus."""
+    scan = M.marker_scan(_tall(t), _traits(t), "id")
+    best = scan.groupBy("trait").agg(F.max_by("locus", F.struct("lod", -F.col("locus"))).alias("locus"))
+    joined = _traits(t).join(best, "trait").join(_tall(t), ["id", "locus"])
+    mean = F.avg("y").over(Window.partitionBy("trait"))
+    return joined.withColumn("m", mean).groupBy("trait", "locus", "d").agg((F.sum(F.col("y") - F.col("m")) / (F.count("*") + 1)).alias("blup"))
+
+
+def _responses(t: Tables) -> DataFrame:
+    y = F.when(F.col("id") % 4 != 0, F.get("embedding", F.lit(0)).cast("double") * 2 + F.get("embedding", F.lit(5)).cast("double"))
+    return vectors(t, 1 << 40).withColumn("y", y)
+
+
+@query()
+def x02_gaussian_process(t: Tables) -> DataFrame:
+    return M.predict_groups(_responses(t), "label", "id", "embedding", "y", "gp")
+
+
+@query()
+def x03_bayesian_kernel(t: Tables) -> DataFrame:
+    return M.predict_groups(_responses(t), "label", "id", "embedding", "y", "gibbs")
+
+
+@query()
+def x04_kernel_blup(t: Tables) -> DataFrame:
+    return M.predict_groups(_responses(t), "label", "id", "embedding", "y", "blup")
+
+
+@query()
+def x06_task_sampler(t: Tables) -> DataFrame:
+    """Context and query rows of 20 tasks, disjoint, sizes drawn log-uniformly by hash."""
+    tasks = t.spark.range(20).withColumnRenamed("id", "task")
+    rows = t("customer", "c_custkey").join(F.broadcast(tasks), F.lit(True))
+    rank = F.row_number().over(Window.partitionBy("task").orderBy(F.md5(F.concat_ws("|", F.col("task").cast("string"), F.col("c_custkey").cast("string"))), "c_custkey"))
+    u = F.conv(F.substring(F.md5(F.col("task").cast("string")), 1, 6), 16, 10).cast("double") / 16777216.0
+    size = F.floor(F.exp(F.log(F.lit(4.0)) + u * (F.log(F.lit(64.0)) - F.log(F.lit(4.0)))))
+    ranked = rows.withColumns({"rank": rank, "size": size}).where(F.col("rank") <= 2 * F.col("size"))
+    return ranked.select("task", "c_custkey", F.when(F.col("rank") <= F.col("size"), "context").otherwise("query").alias("part"))
+
+
+@query()
+def x11_view_assembly(t: Tables) -> DataFrame:
+    point = F.struct("t", "y")
+    return curves(t).groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(point)).alias("p")).select(
+        "user_id", "event_type", F.col("p.t").alias("coords"), F.col("p.y").alias("channel"), F.transform("p", lambda x: x["y"].isNotNull()).alias("mask"))
+
+
+@query()
+def c20_effective_rank(t: Tables) -> DataFrame:
+    rows = []
+    for fold in range(1, 6):
+        values, _ = M.eigen(vectors(t, 1 << 40).where(F.pmod(F.xxhash64("id"), F.lit(5)) != fold - 1), "embedding", 64)
+        rows.append((fold, len(values)))
+    return t.spark.createDataFrame(rows, "fold int, rank int")
+
+
+@query()
+def t05_content_order(t: Tables) -> DataFrame:
+    df = t("part")
+    key = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    return df.select("p_partkey", key.alias("content")).orderBy("content", "p_partkey")
+
+
+@query()
+def p12_columns_by_type(t: Tables) -> DataFrame:
+    """Numeric columns without a missing value, by one pass of counts."""
+    df = t("lineitem")
+    numeric = [c for c, kind in df.dtypes if kind in ("int", "bigint", "double", "float")]
+    missing = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in numeric)).first()
+    return df.select(*(c for c in numeric if missing[c] == 0))
+
+
+@query()
+def p14_channel_selectors(t: Tables) -> DataFrame:
+    return t("lineitem").select(*E.resolve_channels(["l_*", "-l_tax", "vi:l_quantity"], t("lineitem").columns))
+
+
+@query()
+def m18_column_matching(t: Tables) -> DataFrame:
+    found = E.match_columns([("LINE", "prefix"), ("l_quantity", "exact")], ["linenumber", "line_x", "L_QUANTITY", "other"])
+    return t.spark.createDataFrame([(k, v) for k, vs in found.items() for v in vs], "wanted string, found string")
+
+
+@query()
+def m25_close_match(t: Tables) -> DataFrame:
+    wanted = t.spark.createDataFrame([("GERMNY",), ("FRANC",), ("JAPN",)], "asked string")
+    pairs = wanted.join(F.broadcast(t("nation", "n_name")), F.lit(True)).withColumn("d", F.levenshtein("asked", "n_name"))
+    return pairs.groupBy("asked").agg(F.min_by("n_name", F.struct("d", "n_name")).alias("suggestion"))
+
+
+@query()
+def v08_configuration_gates(t: Tables) -> DataFrame:
+    settings = [("cv_2_1", "CV1", True), ("cv_0_00", "CV00", True), ("cv_0_00", "CV2", False)]
+    df = t.spark.createDataFrame(settings, "scheme string, stream string, monitor boolean")
+    fits = F.when(F.col("scheme") == "cv_2_1", F.col("stream").isin("CV1", "CV2")).otherwise(F.col("stream").isin("CV0", "CV00"))
+    return df.withColumn("compatible", fits).withColumn("monitors", F.sum(F.col("monitor").cast("int")).over(Window.partitionBy("scheme")))
+
+
+@query()
+def e01_processor_registry(t: Tables) -> DataFrame:
+    return E.apply_processors(t("events", "event_id", "user_id", "value"), ["finite_values", "group_scores"])
+
+
+@query()
+def e02_registries(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(kind, name) for kind, names in E.REGISTRIES.items() for name in names], "kind string, name string")
+
+
+@query()
+def e04_table_function(t: Tables) -> DataFrame:
+    return M.variance_components(_plots(t), "event_type", ["genotype"], "value")
+
+
+@query()
+def e06_sharded_batches(t: Tables) -> DataFrame:
+    """Batch ids dealt over eight shards by batch number."""
+    rank = F.row_number().over(Window.orderBy(hash_order(1, "c_custkey"), "c_custkey"))
+    batch = F.floor((rank - 1) / 16)
+    return t("customer", "c_custkey").select("c_custkey", batch.alias("batch"), F.pmod(batch, F.lit(8)).alias("shard"))
+
+
+@query()
+def s03_schema_probe(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in t("lineitem").schema], "name string, type string")
+
+
+@query()
+def s04_directory_scan(t: Tables) -> DataFrame:
+    with FS.scratch(t.spark) as folder:
+        for part in (0, 1, 2):
+            FS.write_csv(t("nation").where(F.col("n_nationkey") % 3 == part), f"{folder}/nation_{part}.csv")
+        return FS.landed(FS.read_directory(t.spark, folder, "nation_*.csv", t("nation").schema, expected=3))
+
+
+@query()
+def s06_sample_table(t: Tables) -> DataFrame:
+    """Samples whose every channel value is finite and whose time never repeats."""
+    points = curves(t)
+    checks = points.groupBy("user_id").agg((F.count_if(F.col("y").isNull() | F.isnan("y")) > 0).alias("bad"), F.count("*").alias("points"))
+    return points.join(checks.where("bad"), "user_id", "left_anti").select("user_id", "event_type", "t", "y")
+
+
+@query()
+def s07_format_dispatch(t: Tables) -> DataFrame:
+    with FS.scratch(t.spark) as folder:
+        t("region").write.json(f"{folder}/r.json")
+        FS.write_csv(t("region"), f"{folder}/r.csv")
+        both = [FS.read_any(t.spark, f"{folder}/r.{kind}", t("region").schema).withColumn("format", F.lit(kind)) for kind in ("json", "csv")]
+        return FS.landed(both[0].unionByName(both[1]))
+
+
+@query()
+def s09_vcf_samples(t: Tables) -> DataFrame:
+    with FS.scratch(t.spark) as folder:
+        lines = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "A", "B", "C"]), "1\t5\t.\tA\tC\t.\t.\t.\tGT\t0/0\t0/1\t1/1"]
+        t.spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{folder}/x.vcf")
+        return FS.landed(FS.vcf_samples(t.spark, f"{folder}/x.vcf"))
+
+
+@query()
+def s10_wide_genotypes(t: Tables) -> DataFrame:
+    wide = dosages(t, 6).groupBy().pivot("id", [0, 1, 2, 3, 4, 5]).agg(F.first("d"))
+    long = wide.select(F.posexplode(F.arrays_zip(*(f"`{i}`" for i in range(6)))).alias("locus", "z")).select("locus", *(F.col(f"z.`{i}`").alias(f"taxon{i}") for i in range(6)))
+    return long.unpivot(["locus"], [f"taxon{i}" for i in (1, 3, 5)], "taxon", "dosage")
+
+
+@query()
+def s11_dosage_table(t: Tables) -> DataFrame:
+    return dosages(t, 1 << 40).select("id", F.transform("d", lambda v: v.cast("byte")).alias("dosage"))
+
+
+@query()
+def s14_serialized_objects(t: Tables) -> DataFrame:
+    with FS.scratch(t.spark) as folder:
+        vectors(t).write.parquet(f"{folder}/v")
+        return FS.landed(t.spark.read.parquet(f"{folder}/v"))
+
+
+@query()
+def s15_cross_definition(t: Tables) -> DataFrame:
+    text = '{"geno": "g.csv", "pheno": "p.csv", "alleles": ["A", "B"]}'
+    parsed = t.spark.range(1).select(F.from_json(F.lit(text), "geno string, pheno string, alleles array<string>").alias("c")).select("c.*")
+    return parsed.withColumn("pheno", F.lit("patched.csv")).select(F.to_json(F.struct("geno", "pheno", "alleles")).alias("json"))
+
+
+@query()
+def s16_configuration(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(list(FS.settings({"seeds": "10", "folds": "5", "base": "10.0"}, {"folds": "4"}).items()), "key string, value string")
+
+
+@query()
+def s20_first_existing(t: Tables) -> DataFrame:
+    path = FS.first_existing(t.spark, [f"{t.folder}/absent.parquet", f"{t.folder}/nation.parquet"])
+    return t.spark.read.parquet(path)
+
+
+@query()
+def s22_job_list(t: Tables) -> DataFrame:
+    with FS.scratch(t.spark) as folder:
+        t("nation").select("n_nationkey", F.lit("M1").alias("m"), "n_regionkey").write.csv(f"{folder}/jobs", sep=" ")
+        return FS.landed(t.spark.read.csv(f"{folder}/jobs", sep=" ", schema="job int, model string, grp int"))
+
+
+@query()
+def k01_csv_sink(t: Tables) -> DataFrame:
+    with FS.scratch(t.spark) as folder:
+        df = t("customer", "c_custkey", "c_mktsegment").withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING")))
+        FS.write_csv(df, f"{folder}/c.csv")
+        return FS.landed(FS.read_any(t.spark, f"{folder}/c.csv", df.schema))
+
+
+@query()
+def k02_tsv_sink(t: Tables) -> DataFrame:
+    with FS.scratch(t.spark) as folder:
+        FS.write_csv(t("nation"), f"{folder}/n.tsv", sep="\t")
+        return FS.landed(t.spark.read.csv(f"{folder}/n.tsv", sep="\t", header=True, schema=t("nation").schema))
+
+
+@query()
+def k05_manifest(t: Tables) -> DataFrame:
+    return FS.manifest(t.spark, [f"{t.folder}/nation.parquet", f"{t.folder}/region.parquet"])
+
+
+@query()
+def k06_content_key(t: Tables) -> DataFrame:
+    return t("nation").select("n_nationkey", F.sha2(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name"), 256).alias("key"))
+
+
+@query()
+def k09_training_curve(t: Tables) -> DataFrame:
+    with FS.scratch(t.spark) as folder:
+        for epoch in range(3):
+            t.spark.createDataFrame([(epoch, 1.0 / (epoch + 1))], "epoch int, loss double").write.mode("append").json(f"{folder}/curve")
+        return FS.landed(t.spark.read.json(f"{folder}/curve", schema="epoch int, loss double"))
+
+
+@query()
+def n16_compiled_results(t: Tables) -> DataFrame:
+    """All tasks' results with those that are absent named."""
+    scan = M.marker_scan(_tall(t), _traits(t), "id").select("trait", "locus", rounded("lod").alias("lod"))
+    wanted = t.spark.createDataFrame([("t0",), ("t1",), ("t2",)], "trait string")
+    return wanted.join(scan, "trait", "left").withColumn("status", F.when(F.col("lod").isNull(), "missing").otherwise("ok"))
+
+
+@query()
+def v06_manifest_check(t: Tables) -> DataFrame:
+    paths = [f"{t.folder}/nation.parquet", f"{t.folder}/region.parquet"]
+    known = FS.manifest(t.spark, paths).select("path", F.col("sha256").alias("wanted"))
+    return FS.manifest(t.spark, paths).join(known, "path", "full").select("path", (F.col("sha256") == F.col("wanted")).alias("agrees"))
