@@ -110,3 +110,39 @@ SELECT page_id, r.host, path, rule,
        CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IN ('example.com/de/', 'net/') THEN 'block' ELSE verdict END AS verdict
 FROM ruled r LEFT JOIN v USING (host)
 """
+
+
+def _quality_sql() -> str:
+    from furrow.llm.quality import COMMON, GUARD_CHARS, GUARD_WORDS, MIN_WORDS, MOST_CHARS, MOST_WORDS, REPEAT_PERCENT, REPEAT_WINDOW
+
+    classes = ["[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?\x27\x22()\-]", "!", "[#*$%&|<>]", r"[^\x00-\x7F]"]
+    counts = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in classes)
+    common = ", ".join(f"'{w}'" for w in dict.fromkeys(COMMON))
+    js = """SELECT rid, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d
+      FROM (SELECT rid, v / nullif(sum(v) OVER (PARTITION BY rid), 0) AS p, ref / nullif(sum(ref) OVER (PARTITION BY rid), 0) AS q FROM %s JOIN %s_ref USING (lang, i))
+      WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY rid"""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, chr(0)) AS lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+      regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS fw FROM d),
+win AS (SELECT rid, i, array_to_string(list_slice(w, CAST(i AS BIGINT), CAST(i + {REPEAT_WINDOW - 1} AS BIGINT)), chr(10)) AS win FROM w, unnest(range(1, greatest(1, len(w) - {REPEAT_WINDOW - 2}))) AS r(i)),
+again AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM win), unnest(range(i, i + {REPEAT_WINDOW})) AS r(j) WHERE c > 1 GROUP BY rid),
+cc AS (SELECT rid, lang, length(t) AS n_chars, [{counts}] AS c FROM d),
+classes AS (SELECT rid, lang, i, CAST(CASE WHEN i <= {len(classes)} THEN c[i] ELSE n_chars - list_sum(c) END AS DOUBLE) AS v FROM cc, range(1, {len(classes) + 2}) r(i)),
+wc AS (SELECT rid, lang, len(fw) AS n, list_transform([{common}], lambda x: len(list_filter(fw, lambda y: y = x))) AS c FROM w),
+common AS (SELECT rid, lang, i, CAST(CASE WHEN i <= len(c) THEN c[i] ELSE n - list_sum(c) END AS DOUBLE) AS v FROM wc, range(1, {len(dict.fromkeys(COMMON)) + 2}) r(i)),
+classes_ref AS (SELECT lang, i, sum(v) AS ref FROM classes GROUP BY ALL), common_ref AS (SELECT lang, i, sum(v) AS ref FROM common GROUP BY ALL),
+jc AS ({js % ("classes", "classes")}), jw AS ({js % ("common", "common")}),
+m AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS n_chars, coalesce(jc.d, 0) AS dc, coalesce(jw.d, 0) AS dw
+      FROM w LEFT JOIN again USING (rid) LEFT JOIN jc USING (rid) LEFT JOIN jw USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words OR n_chars >= {GUARD_CHARS} AND dc > {MOST_CHARS} OR n_words >= {GUARD_WORDS} AND dw > {MOST_WORDS}) AS kept
+FROM m
+"""
+
+
+SQL["op3_quality"] = _quality_sql()
