@@ -205,3 +205,17 @@ def test_files_and_settings(spark, tmp_path, monkeypatch):
     with pytest.raises(KeyError):
         registry.resolve_channels(["zz*"], ["a"])
     assert registry.resolve_channels(["*", "-b"], ["a", "b", "c"]) == ["a", "c"]
+
+
+def test_stream_and_batch_agree(spark, tmp_path):
+    from furrow.streaming.events import windowed
+
+    rows = [(f"2024-01-0{1 + i % 3} 0{i % 10}:00:00", "ab"[i % 2], float(i)) for i in range(60)]
+    df = frame(spark, rows, "ts string, kind string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    df.write.parquet(str(tmp_path / "in"))
+    batch = windowed(df, "ts", "kind", "v")
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = windowed(stream, "ts", "kind", "v").writeStream.outputMode("complete").format("memory").queryName("windowed").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("windowed").collect())) == sorted(map(tuple, batch.collect()))
