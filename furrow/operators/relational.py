@@ -33,10 +33,10 @@ def null_outside_windows(df: DataFrame, rules: DataFrame, key: str, at: str, val
 
 def update_where(df: DataFrame, condition: Column, column: str, value: Column) -> DataFrame:
     """Sets column where condition holds; raises, when run, if no row matches."""
-    hits = Window.partitionBy(F.lit(0))
-    matched = F.sum(F.when(condition, 1).otherwise(0)).over(hits)
+    found = df.where(condition).limit(1).agg(F.count("*").alias("_found"))
     new = F.when(condition, value).otherwise(F.col(column))
-    return df.withColumn(column, F.when(matched == 0, F.raise_error(F.lit("no rows matched")).cast(dict(df.dtypes)[column])).otherwise(new))
+    none = F.raise_error(F.lit("no rows matched")).cast(dict(df.dtypes)[column])
+    return df.join(F.broadcast(found), F.lit(True)).withColumn(column, F.when(F.col("_found") == 0, none).otherwise(new)).drop("_found")
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:

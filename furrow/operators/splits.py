@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.exprs import hash_order
@@ -45,20 +45,8 @@ def scheme_leave_one_out(df: DataFrame, key: str, out: str | int) -> DataFrame:
 
 
 def scheme_random(df: DataFrame, row: str, k: int, seed: int, held: int) -> DataFrame:
-    """Folds over rows. Rank by hash within 4096 hash prefixes and add the prefixes' counts, so no task ranks all rows."""
-    h = hash_order(seed, row)
-    prefixed = df.withColumn("_h", h).withColumn("_q", F.substring("_h", 1, 3))
-    counts = prefixed.groupBy("_q").agg(F.count("*").alias("_c"))
-    every = Window.partitionBy(F.lit(0))
-    before = counts.select(
-        "_q",
-        F.coalesce(F.sum("_c").over(every.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_c").over(every).alias("_n"),
-    )
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy("_h", row))
-    ranked = prefixed.withColumn("_r", rank).join(F.broadcast(before), "_q")
-    fold = F.floor((F.col("_before") + F.col("_r") - 1) / F.ceil(F.col("_n") / F.lit(float(k)))).cast("int") + 1
-    return ranked.withColumn("fold", fold).withColumn("role", F.when(F.col("fold") == held, PREDICT).otherwise(FIT)).drop("_h", "_q", "_r", "_before", "_n")
+    """Folds over rows."""
+    return folds(df, k, seed, row).withColumn("role", F.when(F.col("fold") == held, PREDICT).otherwise(FIT))
 
 
 def masked(df: DataFrame, response: str, hide: Column) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.exprs import days_between, hash_order, rounded
+from furrow.functions.exprs import days_between, rounded
 from furrow.operators import curves as CU
 from furrow.operators import kernels as K
 from furrow.operators import models as M
 from furrow.operators import registry as E
+from furrow.operators.timeseries import hash_ranked
 from furrow.plans.kernels import dosages, vectors
 from furrow.plans.registry import Tables, query
 from furrow.sources import files as FS
@@ -231,9 +232,8 @@ def e04_table_function(t: Tables) -> DataFrame:
 @query()
 def e06_sharded_batches(t: Tables) -> DataFrame:
     """Batch ids dealt over eight shards by batch number."""
-    rank = F.row_number().over(Window.orderBy(hash_order(1, "c_custkey"), "c_custkey"))
-    batch = F.floor((rank - 1) / 16)
-    return t("customer", "c_custkey").select("c_custkey", batch.alias("batch"), F.pmod(batch, F.lit(8)).alias("shard"))
+    batch = F.floor((F.col("rank") - 1) / 16)
+    return hash_ranked(t("customer", "c_custkey"), 1, "c_custkey").select("c_custkey", batch.alias("batch"), F.pmod(batch, F.lit(8)).alias("shard"))
 
 
 @query()

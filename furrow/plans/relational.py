@@ -384,9 +384,9 @@ def t01_multi_key_sort(t: Tables) -> DataFrame:
     return t("events", "event_type", "user_id", "event_id").orderBy("event_type", "user_id", "event_id")
 
 
-@query("SELECT p_name, CAST(row_number() OVER (ORDER BY p_name, p_partkey) AS INTEGER) AS pos FROM part")
+@query("SELECT p_name, p_partkey FROM part ORDER BY p_name, p_partkey")
 def t02_byte_order_sort(t: Tables) -> DataFrame:
-    return t("part", "p_name", "p_partkey").select("p_name", F.row_number().over(Window.orderBy("p_name", "p_partkey")).alias("pos"))
+    return t("part", "p_name", "p_partkey").orderBy("p_name", "p_partkey")
 
 
 @query("SELECT c_nationkey, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1 ORDER BY 2, 1 LIMIT 13")
@@ -403,10 +403,7 @@ def t04_seeded_sample(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, CAST(floor((row_number() OVER (ORDER BY md5('3|' || c_custkey), c_custkey) - 1) / 32) AS INTEGER) AS batch FROM customer")
 def t06_batches(t: Tables) -> DataFrame:
-    from furrow.functions.exprs import hash_order
-
-    rank = F.row_number().over(Window.orderBy(hash_order(3, "c_custkey"), "c_custkey"))
-    return t("customer", "c_custkey").select("c_custkey", F.floor((rank - 1) / 32).cast("int").alias("batch"))
+    return TS.hash_ranked(t("customer", "c_custkey"), 3, "c_custkey").select("c_custkey", F.floor((F.col("rank") - 1) / 32).cast("int").alias("batch"))
 
 
 @query("SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IN (SELECT user_id FROM events)")

@@ -73,10 +73,14 @@ def test_unbalanced_folds(spark, n, sizes):
     assert [r["count"] for r in got] == sizes
 
 
-def test_random_scheme_equals_plain_ranking(spark):
-    df = spark.range(500)
-    plain = {r["id"]: r["fold"] for r in timeseries.folds(df, 7, 3, "id").collect()}
-    assert {r["id"]: r["fold"] for r in splits.scheme_random(df, "id", 7, 3, 2).collect()} == plain
+def test_ranks_by_prefix_are_ranks_by_hash(spark):
+    import hashlib
+
+    order = sorted(range(500), key=lambda i: hashlib.md5(f"3|{i}".encode()).hexdigest())
+    got = {r["id"]: (r["rank"], r["n"]) for r in timeseries.hash_ranked(spark.range(500), 3, "id").collect()}
+    assert got == {i: (k + 1, 500) for k, i in enumerate(order)}
+    roles = splits.scheme_random(spark.range(500), "id", 7, 3, 2).groupBy("role").count().collect()
+    assert {r["role"]: r["count"] for r in roles} == {"PREDICT": 72, "FIT": 428}
 
 
 def test_presence_everywhere(spark):
