@@ -123,12 +123,12 @@ def m17_lower_case(t: Tables) -> DataFrame:
     return df.withColumns({c: F.lower(c) for c in lowered})
 
 
-_KEY = "'G2F|' || o_custkey || '|' || o_orderkey"
+_KEY = "'KEY|' || o_custkey || '|' || o_orderkey"
 
 
 @query(f"SELECT o_orderkey, list_reduce(list_prepend(104729::BIGINT, list_transform(string_split({_KEY}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: (h * 31 + b) % 2147483646) + 1 AS seed FROM orders")
 def m19_rolling_hash(t: Tables) -> DataFrame:
-    key = F.concat_ws("|", F.lit("G2F"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
+    key = F.concat_ws("|", F.lit("KEY"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
     return t("orders", "o_orderkey", "o_custkey").select("o_orderkey", X.rolling_hash(key).alias("seed"))
 
 
