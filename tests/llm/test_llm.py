@@ -244,6 +244,14 @@ def test_sketches_keep_text_order():
     assert len(set(occurrence_labelled(twice).tolist())) == len(twice) > len(set(twice.tolist()))
 
 
+def test_word_hashes_do_not_depend_on_pieces():
+    text = " ".join(VOCABULARY * 30) + " x" * 50
+    whole = word_hashes(text)
+    assert len(whole) == len(WORD.findall(ascii_lower(text))) and len(set(whole.tolist())) == len(set(text.split()))
+    for piece in (1, 7, 100):
+        assert (word_hashes(text, piece) == whole).all()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (100, 101)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -94,3 +94,30 @@ def test_run_is_the_stages_one_after_the_other(spark, corpus):
         stage(spark, docs, folder).write.parquet(f"{folder}/again{k}")
         docs = spark.read.parquet(f"{folder}/again{k}")
     assert got == sorted((r["doc_id"] or -1, r["taken"]) for r in docs.collect())
+
+
+def test_stages_of_no_documents_and_of_odd_ones(spark, corpus):
+    folder, _ = corpus
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = documents.where("text is null or text = ''").selectExpr("*", "1 AS n_chars", "'x' AS stay", "'y' AS mix", "'z' AS score")
+    for df in (documents.limit(0), odd):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, folder)
+            assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == df.columns
+            assert out.count() <= df.count()
+
+
+def test_a_very_long_text_is_judged_whole(spark):
+    from furrow.llm import decontaminate, tokens
+    from tests.llm.test_llm import docs
+
+    rng = random.Random(30)
+    item = sentence(rng, 15)
+    long = f"{sentence(rng, 200_000)} {item}"
+    df = docs(spark, [(1, long)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    c = decontaminate.contamination(df, bench).first()["contamination"]
+    assert c["n_words"] == 200_015 and c["n_hit"] >= 15 and not c["contaminated"]
+    m = quality.assess(df).first()["quality"]
+    assert m["n_words"] == 200_015
+    assert tokens.count_tokens(df).first()["n_tokens"] > 200_000
