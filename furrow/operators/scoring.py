@@ -49,11 +49,40 @@ def hierarchical_mean(df: DataFrame, by: Sequence[str], levels: Sequence[str], v
     return out.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
 
 
+MOMENTS = ("m_n", "m_a", "m_p", "m_aa", "m_pp", "m_ap", "m_dd")
+
+
+def moments(actual: str, predicted: str) -> list[Column]:
+    """Sums over complete pairs from which n, r and RMSE follow, and which add up over groups.
+
+    One aggregation at the finest level serves all coarser ones, so the rows are
+    scanned and shuffled once however many poolings there are.
+    """
+    both = F.col(actual).isNotNull() & F.col(predicted).isNotNull()
+    a, p = F.when(both, F.col(actual)), F.when(both, F.col(predicted))
+    sums = (F.count(a), F.sum(a), F.sum(p), F.sum(a * a), F.sum(p * p), F.sum(a * p), F.sum((a - p) * (a - p)))
+    return [c.alias(name) for name, c in zip(MOMENTS, sums, strict=True)]
+
+
+def added_up() -> list[Column]:
+    return [F.sum(name).alias(name) for name in MOMENTS]
+
+
+def from_moments() -> list[Column]:
+    """n, r (null without variance) and e (RMSE)."""
+    n = F.col("m_n")
+    va, vp = n * F.col("m_aa") - F.col("m_a") * F.col("m_a"), n * F.col("m_pp") - F.col("m_p") * F.col("m_p")
+    # Differences of sums that only rounding keeps from zero count as no variance.
+    varies = (va > 1e-12 * n * F.col("m_aa")) & (vp > 1e-12 * n * F.col("m_pp"))
+    r = F.when(varies, F.try_divide(n * F.col("m_ap") - F.col("m_a") * F.col("m_p"), F.sqrt(va) * F.sqrt(vp)))
+    return [n.alias("n"), r.alias("r"), F.sqrt(F.try_divide("m_dd", "m_n")).alias("e")]
+
+
 def score_by_label(df: DataFrame, label: str, block: str, actual: str, predicted: str) -> DataFrame:
     """n, rmse and Pearson's r of each label, and its block correlations pooled."""
-    blocks = df.groupBy(label, block).agg(F.count("*").alias("_n"), X.correlation(actual, predicted).alias("_r"))
-    pooled = blocks.groupBy(label).agg(X.pooled_correlation_strict("_r", "_n").alias("r_w"), X.blocks_used("_r", "_n").alias("blocks"))
-    flat = df.groupBy(label).agg(F.count("*").alias("n"), X.rmse(actual, predicted).alias("rmse"), X.correlation(actual, predicted).alias("pearson"))
+    fine = df.groupBy(label, block).agg(*moments(actual, predicted))
+    pooled = fine.select(label, *from_moments()).groupBy(label).agg(X.pooled_correlation_strict("r", "n").alias("r_w"), X.blocks_used("r", "n").alias("blocks"))
+    flat = fine.groupBy(label).agg(*added_up()).select(label, *from_moments()).withColumnsRenamed({"r": "pearson", "e": "rmse"})
     return flat.join(pooled, label, "left")
 
 

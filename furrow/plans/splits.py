@@ -152,16 +152,20 @@ def c18_results_audit(t: Tables) -> DataFrame:
   UNION ALL SELECT 'loeo', pri, round(sum(r / v) / sum(1 / v), 6), NULL, round(sqrt(sum(n * e * e) / sum(n)), 6), NULL FROM (SELECT *, greatest((1 - r * r) / (n - 2), 2.220446049250313e-16) AS v FROM g WHERE n > 2 AND r IS NOT NULL) GROUP BY 2
   UNION ALL SELECT 'pooled', pri, round(covar_pop(a, p) / nullif(stddev_pop(a) * stddev_pop(p), 0), 6), NULL, round(sqrt(avg(pow(a - p, 2))), 6), NULL FROM o GROUP BY 2""")
 def c19_final_summary(t: Tables) -> DataFrame:
-    """Three sources with their own pooling, stacked: seeds of environment blocks, left-out environments, all rows."""
-    o = observations(t).withColumnRenamed("pri", "model")
-    block = [F.count("*").alias("n"), X.correlation("a", "p").alias("r"), X.rmse("a", "p").alias("e")]
+    """Three sources with their own pooling, stacked: seeds of environment blocks, left-out environments, all rows.
+
+    All of them come from the same moments by model, seed and environment.
+    """
+    o = observations(t).withColumnRenamed("pri", "model").withColumn("seed", F.col("c_custkey") % 3)
+    fine = o.groupBy("model", "seed", "env").agg(*S.moments("a", "p"))
     usable = "n > 2 AND r IS NOT NULL"
     pooled = [X.pooled_correlation("r", "n").alias("correlation"), X.pooled_rmse("e", "n").alias("rmse")]
-    seeds = o.groupBy("model", (F.col("c_custkey") % 3).alias("seed"), "env").agg(*block).where(usable).groupBy("model", "seed").agg(*pooled)
+    seeds = fine.select("model", "seed", *S.from_moments()).where(usable).groupBy("model", "seed").agg(*pooled)
     kernel = seeds.groupBy("model").agg(
         F.avg("correlation").alias("correlation"), F.stddev_samp("correlation").alias("correlation_sd"), F.avg("rmse").alias("rmse"), F.count("*").alias("seeds"))
-    loeo = o.groupBy("model", "env").agg(*block).where(usable).groupBy("model").agg(*pooled)
-    flat = o.groupBy("model").agg(X.correlation("a", "p").alias("correlation"), X.rmse("a", "p").alias("rmse"))
+    places = fine.groupBy("model", "env").agg(*S.added_up()).select("model", *S.from_moments())
+    loeo = places.where(usable).groupBy("model").agg(*pooled)
+    flat = fine.groupBy("model").agg(*S.added_up()).select("model", *S.from_moments()).select("model", F.col("r").alias("correlation"), F.col("e").alias("rmse"))
     parts = [df.withColumn("method", F.lit(name)) for name, df in (("kernel", kernel), ("loeo", loeo), ("pooled", flat))]
     out = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     return out.select("method", "model", *(rounded(c).alias(c) for c in ("correlation", "correlation_sd", "rmse")), "seeds")
