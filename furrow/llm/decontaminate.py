@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import BROADCAST_BYTES, free_name
+from furrow.llm.shared import BROADCAST_BYTES, free_name, lean_batches
 from furrow.llm.words import folded_words
 
 WINDOW = 13
@@ -135,6 +135,7 @@ def contamination(
     nothing. Other columns of docs pass through, whatever their names; a column
     called ``out`` is replaced.
     """
+    lean_batches(docs)
     spark = docs.sparkSession
     state = free_name(docs, "hits_so_far")
     df = docs.withColumn(state, F.lit(None).cast(HITS))

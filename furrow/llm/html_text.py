@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.shared import lean_batches
+
 #: HTML's block-level elements, void elements, and elements without main text.
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -34,7 +36,8 @@ NAMES = set(
     "ad ads adv advert advertisement advertising adslot adsense sponsor sponsored promo promotion banner sidebar "
     "nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist "
     "respond replies disqus cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup "
-    "share sharing social related recommended widget widgets pagination pager login search skip".split()
+    "share sharing social related recommended widget widgets pagination pager login search skip side rail crumbs topnav "
+    "sidenav disclaimer".split()
 )
 #: Headers of pages; inside an article a header holds its heading.
 OUTSIDE_ARTICLE = {"header"}
@@ -200,13 +203,20 @@ def main_text(html: str | None) -> str:
     if not runs:
         runs = [max(range(len(lines)), key=lambda i: len(lines[i][1]))]
     first, last = runs[0], runs[-1]
-    while first and lines[first - 1][1] and lines[first - 1][0].node.tag in ("h1", "h2"):
+    while first and lines[first - 1][1] and (_siblings(lines[first - 1][0], lines[first][0]) or lines[first - 1][0].node.tag in ("h1", "h2")):
         first -= 1
+    while last + 1 < len(lines) and lines[last + 1][1] and _siblings(lines[last + 1][0], lines[last][0]):
+        last += 1
     return "\n\n".join(
         text for line, text in lines[first : last + 1] if text and line.links <= MOST_LINKS * len("".join(text.split()))
     )
 
 
+def _siblings(a: _Line, b: _Line) -> bool:
+    """Whether two lines stand side by side in one block: a short paragraph belongs to the long ones beside it."""
+    return a.node is b.node or a.node.parent is b.node.parent and a.node.parent is not None
+
+
 def _inside(node: _Node | None, of: _Node) -> bool:
     while node is not None and node is not of:
         node = node.parent
@@ -223,6 +233,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     Each page is worked off by itself, whole, so no shuffle. Null and empty pages
     give an empty text of 0 characters. Repeated pages give equal texts.
     """
+    lean_batches(pages)
     return pages.withColumn(text, F.arrow_udf(extracted, "string")(F.col(html))).withColumn(
         "n_chars", F.char_length(text).cast("long")
     )

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.llm.shared import lean_batches
 from furrow.llm.toxicity import fold
 
 #: Bound of the training sample, over all languages.
@@ -138,6 +139,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Null, empty and letter-free texts are ``und`` with score 0, and so are all
     texts if there was nothing to learn from. Equal texts get equal answers.
     """
+    lean_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(texts: pa.Array) -> pa.Array:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.components import components
-from furrow.llm.shared import free_name, settle
+from furrow.llm.shared import free_name, lean_batches, settle
 from furrow.llm.words import mix64, occurrence_labelled, shingle_hashes, utf8, word_hashes
 
 K = 5
@@ -208,19 +208,26 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     its own id, an empty text joins equal texts only. An empty table gives an
     empty result.
     """
+    lean_batches(docs)
     copy = copy_of(text, doc_id)
     seen = settle(
         docs.select(
             F.col(doc_id).alias("doc_id"), copy.alias("copy"), F.arrow_udf(sketched, SKETCHED)(F.col(text)).alias("s")
         ).select("doc_id", "copy", F.coalesce("s.unit", F.encode("copy", "utf-8")).alias("unit"), "s.n", "s.buckets")
     )
-    units = seen.groupBy("unit").agg(F.first("buckets").alias("buckets"))
+    units = settle(seen.groupBy("unit").agg(F.first("buckets").alias("buckets"), F.min("copy").alias("copy")))
     keys = units.select(F.explode("buckets").alias("bucket"), "unit")
-    counted = keys.groupBy("bucket").agg(F.min("unit").alias("least"), F.count("*").alias("size")).where("size > 1")
+    # Buckets of equal members would only repeat the same comparisons: two hashes of the set tell them apart.
+    counted = settle(
+        keys.groupBy("bucket").agg(
+            F.min("unit").alias("least"), F.count("*").alias("size"),
+            F.bit_xor(F.xxhash64("unit")).alias("set_a"), F.bit_xor(F.xxhash64("unit", F.lit(1))).alias("set_b"),
+        ).where("size > 1").groupBy("size", "set_a", "set_b", "least").agg(F.min("bucket").alias("bucket"))
+        .select("bucket", "least")
+    )
     members = settle(keys.join(counted, "bucket").select("bucket", "unit", "least"))
-    wanted = members.select("unit").distinct()
+    one = units.select("unit", "copy").join(members.select("unit").distinct(), "unit")
     texts = docs.select(F.col(text).alias("text"), copy.alias("copy"))
-    one = seen.join(wanted, "unit", "left_semi").groupBy("unit").agg(F.min("copy").alias("copy"))
     kmers = settle(
         texts.join(one, "copy").groupBy("unit").agg(F.first("text").alias("text"))
         .select("unit", F.arrow_udf(kmers_of, "array<long>")(F.col("text")).alias("kmers"))
@@ -236,7 +243,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     found = components(links).withColumnsRenamed({"node": "unit", "component": "class"})
     joined = seen.select("doc_id", "copy", "unit").join(found, "unit", "left")
     joined = joined.select("doc_id", "copy", F.coalesce("class", "unit").alias("class"))
-    each = joined.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    each = settle(joined.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return joined.join(each, "class").select("doc_id", "copy", "class_id", "class_size", "class")
 
 

@@ -15,12 +15,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.mixing import hinted
-from furrow.llm.shared import free_name, settle
+from furrow.llm.shared import free_name, lean_batches, settle
 from furrow.llm.words import FOLD, utf8
 
 MIN_WORDS = 20
@@ -108,7 +109,12 @@ def measure(text: str | None) -> dict:
 
 
 def measures(texts: pa.Array) -> pa.Array:
-    return pa.array([measure(t.as_py()) for t in texts], _ARROW)
+    names, found = [f.name for f in _ARROW], [[] for _ in _ARROW]
+    for t in texts:
+        m = measure(t.as_py())
+        for column, name in zip(found, names, strict=True):
+            column.append(np.array(m[name], np.int64) if isinstance(m[name], list) else m[name])
+    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(found, _ARROW, strict=True)], names)
 
 
 def both_histograms(texts: pa.Array) -> pa.Array:
@@ -149,6 +155,7 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", out: str = "
     text. Repeated rows are judged alike. Other columns pass through; a column
     called ``out`` is replaced.
     """
+    lean_batches(docs)
     m, r = free_name(docs, "measured"), free_name(docs, "reference")
     refs = settle(references(docs, text, lang)).select(F.struct("*").alias(r))
     df = docs.withColumn(m, F.arrow_udf(measures, MEASURES)(F.col(text))).join(

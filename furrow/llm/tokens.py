@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.shared import lean_batches
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
@@ -132,6 +134,7 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit:
     ordinary text. Each text is counted whole, by itself: no shuffle.
     """
 
+    lean_batches(docs)
     def counted(texts: pa.Array) -> pa.Array:
         return pa.array([counter(model).count(t.as_py() or "") for t in texts], pa.int64())
 

@@ -16,12 +16,14 @@ Scoring reads each text whole, by itself, without a shuffle.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.llm.shared import lean_batches
 from furrow.llm.words import folded_words
 
 #: Bounds of the training sample.
@@ -33,13 +35,15 @@ NGRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
 WIDTH = 8
 WINDOW = 12
-#: Training: passes over the sample, step of Adam, decay of weights.
-PASSES = 80
+#: Training: passes over the sample, step of Adam, weight of the prior against one text of the rarer label.
+PASSES = 120
 STEP = 0.05
-DECAY = 2e-4
-#: Weight of all toxic texts of the sample together, out of 1: clean texts should rather stay clean.
-TOXIC_WEIGHT = 0.45
-REMEMBERED = 400_000
+PRIOR = 0.1
+#: Weight of all toxic texts of the sample together, out of 1.
+TOXIC_WEIGHT = 0.5
+#: N-grams in a block of training, and words that a worker remembers the score of.
+BLOCK = 500_000
+REMEMBERED = 200_000
 
 
 def subwords(word: bytes) -> list[int]:
@@ -63,12 +67,12 @@ def windows(n: int) -> np.ndarray:
 class Model:
     """The trained softmax over embeddings, folded into one number for each bucket."""
 
-    def __init__(self, bucket_scores: np.ndarray, bias: float):
-        self.bucket_scores, self.bias = bucket_scores, bias
+    def __init__(self, bucket_scores: np.ndarray, bias: float, base: float):
+        self.bucket_scores, self.bias, self.base = bucket_scores, bias, base
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self) -> dict:
-        return {"bucket_scores": self.bucket_scores, "bias": self.bias, "known": {}}
+        return {"bucket_scores": self.bucket_scores, "bias": self.bias, "base": self.base, "known": {}}
 
     def word(self, word: bytes) -> float:
         s = self.known.get(word)
@@ -80,34 +84,43 @@ class Model:
         return s
 
     def score(self, text: str | None) -> float:
-        """Probability of label 1; a text without words scores as an average of nothing, by the bias alone."""
+        """Probability of label 1; a text without words has the base rate."""
         words = distinct_words(text)
-        logit = self.bias
-        if words:
-            sums = np.concatenate([[0.0], np.cumsum([self.word(w) for w in words])])
-            starts = windows(len(words))
-            ends = np.minimum(starts + WINDOW, len(words))
-            logit += float(((sums[ends] - sums[starts]) / (ends - starts)).max())
+        if not words:
+            return self.base
+        sums = np.concatenate([[0.0], np.cumsum([self.word(w) for w in words])])
+        starts = windows(len(words))
+        ends = np.minimum(starts + WINDOW, len(words))
+        logit = self.bias + float(((sums[ends] - sums[starts]) / (ends - starts)).max())
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
-    """Learns embeddings and softmax from whole texts. With no text or one label alone, that label's share is all it knows."""
+def train(texts: list[str | None], labels: list[int], base: float | None = None, seed: int = 7) -> Model:
+    """Learns embeddings and softmax from whole texts. With no text or one label alone, the base rate is all it knows.
+
+    ``base`` is the share of label 1 (by default that of the given labels).
+    """
     y = np.asarray(labels, float)
+    base = float((y.sum() + 0.5) / (len(y) + 1)) if base is None else base
     vocabulary: dict[bytes, int] = {}
     at: list[np.ndarray] = []
     for t in texts:
         at.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in distinct_words(t)], np.int64))
     keep = [i for i, a in enumerate(at) if len(a)]
     if not keep or len(set(y[keep])) < 2:
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    grams = [subwords(w) for w in vocabulary]
-    n_grams = np.array([len(g) for g in grams])
-    gram_of = np.fromiter((b for g in grams for b in g), np.int64, int(n_grams.sum()))
-    gram_starts = np.concatenate([[0], np.cumsum(n_grams)[:-1]])
+        return Model(np.zeros(BUCKETS), float(np.log(base / (1 - base))), base)
+    flat_grams, n_grams = array("i"), np.empty(len(vocabulary), np.int64)
+    for i, w in enumerate(vocabulary):
+        grams = subwords(w)
+        flat_grams.extend(grams)
+        n_grams[i] = len(grams)
+    del vocabulary
+    gram_of, gram_ends = np.frombuffer(flat_grams, np.int32), np.cumsum(n_grams)
+    # Words are worked off in blocks, so that temporaries stay small beside the n-grams themselves.
+    cuts = [0, *np.searchsorted(gram_ends, np.arange(BLOCK, gram_ends[-1], BLOCK)).tolist(), len(n_grams)]
+    blocks = [(a, b, int(gram_ends[a] - n_grams[a]), int(gram_ends[b - 1])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
     # Windows of all texts, as ranges over the texts' words laid end to end.
-    flat = np.concatenate([at[i] for i in keep])
+    flat = np.concatenate([at[i] for i in keep]).astype(np.int32)
     firsts = np.concatenate([[0], np.cumsum([len(at[i]) for i in keep])])
     starts = [windows(len(at[i])) for i in keep]
     doc_starts = np.concatenate([[0], np.cumsum([len(s) for s in starts])[:-1]])
@@ -117,13 +130,16 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     y = y[keep]
     weight = np.where(y == 1, TOXIC_WEIGHT / (y == 1).sum(), (1 - TOXIC_WEIGHT) / (y == 0).sum())
 
+    decay = PRIOR / min((y == 1).sum(), (y == 0).sum())
     rng = np.random.default_rng(seed)
     parameters = [rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 1.0, WIDTH), np.array([-1.0])]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
     for step in range(1, PASSES + 1):
         embeddings, softmax, bias = parameters
         per_bucket = embeddings @ softmax
-        per_word = np.add.reduceat(per_bucket[gram_of], gram_starts) / n_grams
+        per_word = np.empty(len(n_grams))
+        for a, b, p, q in blocks:
+            per_word[a:b] = np.add.reduceat(per_bucket[gram_of[p:q]], gram_ends[a:b] - n_grams[a:b] - p) / n_grams[a:b]
         sums = np.concatenate([[0.0], np.cumsum(per_word[flat])])
         logits = (sums[hi] - sums[lo]) / (hi - lo)
         top = np.maximum.reduceat(logits, doc_starts)
@@ -133,10 +149,12 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         span = hi[best] - lo[best]
         words = flat[np.repeat(lo[best] - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())]
         by_word = np.bincount(words, np.repeat(slope / span, span), len(n_grams)) / n_grams
-        by_bucket = np.bincount(gram_of, np.repeat(by_word, n_grams), BUCKETS)
+        by_bucket = np.zeros(BUCKETS)
+        for a, b, p, q in blocks:
+            by_bucket += np.bincount(gram_of[p:q], np.repeat(by_word[a:b], n_grams[a:b]), BUCKETS)
         gradients = [
-            by_bucket[:, None] * softmax[None, :] + DECAY * embeddings,
-            by_bucket @ embeddings + DECAY * softmax,
+            by_bucket[:, None] * softmax[None, :] + decay * embeddings,
+            by_bucket @ embeddings + decay * softmax,
             np.array([slope.sum()]),
         ]
         for i, (g, (m, v)) in enumerate(zip(gradients, moments, strict=True)):
@@ -144,7 +162,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
             v += 0.001 * (g * g - v)
             parameters[i] = parameters[i] - STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     embeddings, softmax, bias = parameters
-    return Model(embeddings @ softmax, float(bias[0]))
+    return Model(embeddings @ softmax, float(bias[0]), base)
 
 
 def fold(doc_id: Column, of: int = FOLDS) -> Column:
@@ -152,8 +170,8 @@ def fold(doc_id: Column, of: int = FOLDS) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(text, toxic): at most per_class labelled texts of each label outside the held-out fold, in hash order.
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[DataFrame, float]:
+    """(text, toxic, order) and the share of toxic labels: at most per_class labelled texts of each label outside the held-out fold, in hash order.
 
     An id with several labels is toxic if one says so; an id with several texts
     brings the first in text order. Ids are picked from the labels by a hash
@@ -174,20 +192,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     chosen = ranked.where(F.col("rank") <= per_class).select("doc_id", "toxic", "order")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "order").agg(F.min("text").alias("text"))
     upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy("order"))
-    return texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES // 2).select("text", "toxic", "order")
+    rate = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
+    return texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES // 2).select("text", "toxic", "order"), rate
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    rows = sorted((r["order"], r["text"], r["toxic"]) for r in training_sample(docs.where(F.col("text").isNotNull()), labels, per_class).collect())
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    sample, rate = training_sample(docs.where(F.col("text").isNotNull()), labels, per_class)
+    rows = sorted((r["order"], r["text"], r["toxic"]) for r in sample.collect())
+    return train([r[1] for r in rows], [r[2] for r in rows], rate)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with each text's probability of being toxic in ``out`` (replaced where there is one).
 
-    Nothing but the text is an input. Null, empty and word-free texts score by the
-    model's bias. Equal texts score alike.
+    Nothing but the text is an input. Null, empty and word-free texts have the share
+    of toxic labels as their score. Equal texts score alike.
     """
+    lean_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts: pa.Array) -> pa.Array:

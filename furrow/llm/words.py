@@ -51,9 +51,21 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One uint64 for each word of the text, in text order; equal words, equal hashes."""
-    data = np.frombuffer(utf8(text).translate(FOLD), np.uint8)
+def word_hashes(text: str | None, piece: int = 1 << 20) -> np.ndarray:
+    """One uint64 for each word of the text, in text order; equal words, equal hashes.
+
+    Long texts are worked off in pieces cut between words, so memory stays small beside the text.
+    """
+    data, at, found = utf8(text).translate(FOLD), 0, []
+    while at < len(data):
+        end = data.find(b" ", at + piece) if at + piece < len(data) else -1
+        end = len(data) if end < 0 else end
+        found.append(_piece_hashes(np.frombuffer(data, np.uint8, end - at, at)))
+        at = end
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def _piece_hashes(data: np.ndarray) -> np.ndarray:
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = data != 0x20
     edges = np.flatnonzero(inside[1:] != inside[:-1])

@@ -269,6 +269,9 @@ PAGES = {
     + "Long text with many words. " * 5
     + "</p><p>Short.</p><p>" + "Closing text with many words. " * 5 + "</p></div><div class=comments><p>I liked this.</p></div>":
         "Head\n\n" + " ".join(["Long text with many words."] * 5) + "\n\nShort.\n\n" + " ".join(["Closing text with many words."] * 5),
+    "<body><div class=side-rail>Links</div><div><p>Tiny.</p><p>" + "Plain page without an article element. " * 6 + "</p><p>End.</p></div><div class=footer>f</div>":
+        "Tiny.\n\n" + " ".join(["Plain page without an article element."] * 6) + "\n\nEnd.",
+    "<article><header><h1>T</h1></header><p>Body text.</p><div class=comments><p>Nice one, thank you.</p></div><section id=newsletter-signup>Mail</section></article>": "T\n\nBody text.",
     "no markup at all": "no markup at all", "": "", "<p></p><br>": "", "<nav>only menu</nav>": "",
 }
 
