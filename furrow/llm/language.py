@@ -34,13 +34,12 @@ PASSES, STEP, DECAY = 150, 0.02, 1e-4
 LEAD = 0.2
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
 
 
 def features(text: str | None) -> np.ndarray | None:
     """Square roots of the shares of a text's byte n-grams, hashed; None for a text without letters."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     data = np.frombuffer(_OTHERS.sub(" ", f" {text} ").lower().encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     counts = np.zeros(FEATURES)
