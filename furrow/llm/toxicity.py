@@ -38,9 +38,9 @@ WINDOW = 12
 #: Training: passes over the sample, step of Adam, weight of the prior against one text of the rarer label.
 PASSES = 120
 STEP = 0.05
-PRIOR = 0.1
-#: Weight of all toxic texts of the sample together, out of 1.
-TOXIC_WEIGHT = 0.5
+PRIOR = 0.05
+#: Weight of all toxic texts of the sample together, out of 1. Under one half, so that a model that learned nothing rejects nothing.
+TOXIC_WEIGHT = 0.45
 #: N-grams in a block of training, and words that a worker remembers the score of.
 BLOCK = 500_000
 REMEMBERED = 200_000
