@@ -19,9 +19,9 @@ from furrow.llm.shared import free_name, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules find clean."""
     found = free_name(docs, "quality")
-    return quality.assess(docs, out=found).where(F.col(f"{found}.kept")).select(*docs.columns)
+    return quality.assess(docs, out=found).where(F.col(f"{found}.clean")).select(*docs.columns)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

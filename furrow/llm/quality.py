@@ -6,6 +6,11 @@ characters, and common function words against all other words. The distance is
 Jensen-Shannon's (base 2, square root, 0 to 1). Texts too short for a histogram to
 mean anything are guarded: they are judged by the base rules alone.
 
+Letters and blanks swamp rare classes in these two, so a third histogram has only
+symbols, words that repeat the word before them, and all other words. A text with
+more of the rare ones than its language is far from it at a small distance already.
+``kept`` is the verdict without the third histogram, ``clean`` the verdict with it.
+
 A language's reference is the sum of the histograms of all its documents, so it
 follows the corpus: one pass with map-side sums, one row for each language. The
 second pass joins it (broadcast where languages are counted to be few).
@@ -14,6 +19,7 @@ second pass joins it (broadcast where languages are counted to be few).
 from __future__ import annotations
 
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,9 @@ GUARD_WORDS = 60
 #: Largest distances of a kept document.
 MOST_CHARS = 0.3
 MOST_WORDS = 0.5
+#: Largest distance of a clean document that has more rare classes than its language, and the share of them that is never odd.
+MOST_RARE = 0.12
+GUARD_RARE = 0.1
 
 BLANK, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 #: Character classes: these, then non-ASCII characters, then all others.
@@ -55,15 +64,15 @@ COMMON = (
 #: ASCII, and the bytes of UTF-8 that go on with a character: what is left is one byte for each wider character.
 _NOT_LEADING = bytes(range(0xC0))
 _INDEX = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON))}
-N_CLASSES, N_COMMON = len(CLASSES) + 2, len(_INDEX) + 1
+N_CLASSES, N_COMMON, N_RARE = len(CLASSES) + 2, len(_INDEX) + 1, 3
 
 MEASURES = (
     "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, "
-    "classes: array<long>, common: array<long>>"
+    "classes: array<long>, common: array<long>, rare: array<long>>"
 )
 _ARROW = pa.struct(
     [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [(n, pa.list_(pa.int64())) for n in ("classes", "common")]
+    + [(n, pa.list_(pa.int64())) for n in ("classes", "common", "rare")]
 )
 
 
@@ -79,6 +88,12 @@ def histograms(text: str | None) -> tuple[list[int], list[int]]:
     return classes, [*common, counts.total() - sum(common)]
 
 
+def rare_classes(n_symbols: int, words: list[bytes]) -> list[int]:
+    """Counts of symbols, words equal to the word before, and all other words."""
+    again = sum(map(eq, words, words[1:]))
+    return [n_symbols, again, len(words) - again]
+
+
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
     """Words that stand in a window which occurs twice or more, its first occurrence included."""
     windows = list(zip(*(words[i:] for i in range(window)), strict=False))
@@ -97,14 +112,16 @@ def measure(text: str | None) -> dict:
     words = data.split()
     lines = [x for x in data.split(b"\n") if x.strip(BLANK)]
     classes, common = histograms(text)
+    n_symbols = classes[CLASSES.index(SYMBOLS)]
     return {
         "n_words": len(words),
         "word_chars": len(text or "") - classes[CLASSES.index(BLANK)],
-        "n_symbols": classes[CLASSES.index(SYMBOLS)],
+        "n_symbols": n_symbols,
         "n_dup_lines": len(lines) - len(set(lines)),
         "n_repeat_words": repeated_words(words),
         "classes": classes,
         "common": common,
+        "rare": rare_classes(n_symbols, words),
     }
 
 
@@ -117,18 +134,26 @@ def measures(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(found, _ARROW, strict=True)], names)
 
 
-def both_histograms(texts: pa.Array) -> pa.Array:
-    return pa.array([[*a, *b] for a, b in (histograms(t.as_py()) for t in texts)], pa.list_(pa.int64()))
+def all_histograms(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts:
+        text = t.as_py()
+        classes, common = histograms(text)
+        out.append([*classes, *common, *rare_classes(classes[CLASSES.index(SYMBOLS)], utf8(text).split())])
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(ref_lang, ref_classes, ref_common): each language's histograms over all its documents, null a language of its own."""
-    n = N_CLASSES + N_COMMON
-    counted = docs.select(F.col(lang).alias("ref_lang"), F.arrow_udf(both_histograms, "array<long>")(F.col(text)).alias("counts"))
+    """(ref_lang, ref_classes, ref_common, ref_rare): each language's histograms over all its documents, null a language of its own."""
+    n = N_CLASSES + N_COMMON + N_RARE
+    counted = docs.select(F.col(lang).alias("ref_lang"), F.arrow_udf(all_histograms, "array<long>")(F.col(text)).alias("counts"))
     sums = counted.groupBy("ref_lang").agg(*(F.sum(F.get("counts", F.lit(i))).alias(f"c{i}") for i in range(n)))
     columns = [F.col(f"c{i}") for i in range(n)]
     return sums.select(
-        "ref_lang", F.array(*columns[:N_CLASSES]).alias("ref_classes"), F.array(*columns[N_CLASSES:]).alias("ref_common")
+        "ref_lang",
+        F.array(*columns[:N_CLASSES]).alias("ref_classes"),
+        F.array(*columns[N_CLASSES:-N_RARE]).alias("ref_common"),
+        F.array(*columns[-N_RARE:]).alias("ref_rare"),
     )
 
 
@@ -146,8 +171,14 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
+def rare_share(counts: Column) -> Column:
+    """Share of a histogram's rare classes, all but the last; null of an empty one."""
+    rare = F.aggregate(F.slice(counts, 1, N_RARE - 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.try_divide(rare.cast("double"), (rare + F.get(counts, F.lit(N_RARE - 1))).cast("double"))
+
+
 def assess(docs: DataFrame, text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
-    """docs with a struct column ``out``: the base measures, base_failed, both distances, kept.
+    """docs with a struct column ``out``: the base measures, base_failed, the three distances, kept, clean.
 
     A null or empty text has no words, fails the base rules and isn't kept. A null
     language is compared with all texts of null language. Where a distance is
@@ -167,6 +198,9 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", out: str = "
     chars = js_distance(F.col(f"{m}.classes"), F.col(f"{r}.ref_classes"))
     words = js_distance(F.col(f"{m}.common"), F.col(f"{r}.ref_common"))
     enough_chars = F.aggregate(f"{m}.classes", F.lit(0).cast("long"), lambda a, x: a + x) >= GUARD_CHARS
+    rare, ref_rare = F.col(f"{m}.rare"), F.col(f"{r}.ref_rare")
+    rares = js_distance(rare, ref_rare)
+    full = (rare_share(rare) > GUARD_RARE) & (rare_share(rare) > rare_share(ref_rare)) & (rares > MOST_RARE)
     odd = F.coalesce(enough_chars & (chars > MOST_CHARS), F.lit(False)) | F.coalesce(
         (n_words >= GUARD_WORDS) & (words > MOST_WORDS), F.lit(False)
     )
@@ -177,6 +211,8 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", out: str = "
             failed.alias("base_failed"),
             chars.alias("char_distance"),
             words.alias("word_distance"),
+            rares.alias("rare_distance"),
             (~failed & ~odd).alias("kept"),
+            (~failed & ~odd & ~F.coalesce(full, F.lit(False))).alias("clean"),
         ),
     ).drop(*[c for c in (m, r) if c != out])

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from furrow.llm import chat, decontaminate, html_text, language, mixing, order_minhash, quality, tokens, toxicity, url_filter
 from furrow.llm.components import components
 from furrow.llm.words import occurrence_labelled, shingle_hashes, word_hashes
@@ -157,6 +158,22 @@ def test_quality_measures_and_verdicts(spark):
     assert quality.assess(docs(spark, [])).count() == 0
 
 
+def test_quality_counts_rare_classes(spark):
+    rng = random.Random(31)
+    plain = [f"The {sentence(rng, 30)} of the {sentence(rng, 60)}." for _ in range(60)]
+    table_rows = [" | ".join(sentence(rng, 80).split()) for _ in range(12)]
+    runs = [" ".join(w for w in sentence(rng, 14).split() for _ in range(6)) for _ in range(6)]
+    listed = ["\n".join(f"* {sentence(rng, 12)}" for _ in range(8)) for _ in range(3)]
+    rows = [(i, t, "en") for i, t in enumerate(plain + listed)]
+    bad = [(100 + i, t, "en") for i, t in enumerate(table_rows + runs)]
+    got = {r["doc_id"]: r["quality"] for r in quality.assess(docs(spark, rows + bad)).collect()}
+    assert all(got[i]["kept"] and got[i]["clean"] for i, *_ in rows)
+    assert not any(got[i]["clean"] for i, *_ in bad) and all(got[i]["kept"] for i, *_ in bad[:12])
+    corpus = docs(spark, rows + bad)
+    stage = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, corpus, "").collect()}
+    assert stage == {i for i, *_ in rows}
+
+
 # Near-duplicates
 
 
