@@ -16,11 +16,13 @@ _D = "d AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lam
 _DL = _D + ", l AS (SELECT id, i - 1 AS locus, d[i] AS d FROM d, range(1, 65) r(i)), f AS (SELECT locus, avg(d) / 2 AS p FROM l GROUP BY 1)"
 
 
-def vectors(t: Tables, upto: int = 40) -> DataFrame:
-    return t("embeddings", "vec_id", "embedding", "label").where(F.col("vec_id") < upto).withColumnRenamed("vec_id", "id")
+def vectors(t: Tables, upto: int | None = 40) -> DataFrame:
+    """The vectors below an id, as the SQL twins have them; all with None."""
+    x = t("embeddings", "vec_id", "embedding", "label").withColumnRenamed("vec_id", "id")
+    return x if upto is None else x.where(F.col("id") < upto)
 
 
-def dosages(t: Tables, upto: int = 40) -> DataFrame:
+def dosages(t: Tables, upto: int | None = 40) -> DataFrame:
     cut = lambda v: F.when(v.cast("double") < -0.05, 0).when(v.cast("double") < 0.05, 1).otherwise(2)
     return vectors(t, upto).select("id", F.transform("embedding", cut).alias("d"), "label")
 
