@@ -30,7 +30,10 @@ BLOCKS = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NOT_TEXT = set("head title script style noscript template iframe object svg math canvas audio video select option textarea button datalist".split())
-NOT_MAIN = set("nav footer aside form menu dialog fieldset".split())
+NOT_MAIN = set("nav footer aside menu dialog".split())
+#: No main text either, unless they hold an article or most of the text.
+FORMS = {"form", "fieldset"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = set(
     "ad ads adv advert advertisement advertising adslot adsense sponsor sponsored promo promotion banner sidebar "
@@ -57,10 +60,11 @@ _NAME = re.compile(r"[^a-z0-9]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "off", "named_off", "article")
+    __slots__ = ("tag", "parent", "off", "named_off", "form", "article")
 
     def __init__(self, tag: str, parent: _Node | None, off: bool = False, named_off: bool = False):
         self.tag, self.parent, self.off, self.named_off = tag, parent, off, named_off
+        self.form = tag in FORMS
         self.article = self if tag in ARTICLES else parent.article if parent else None
 
 
@@ -115,19 +119,24 @@ class Lines(HTMLParser):
         off |= "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(_HIDDEN.search(attrs.get("style") or ""))
         named = False
         if tag not in ("html", "body", "article", "main"):
-            names = _NAME.split(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
-            named = not NAMES.isdisjoint(names) or parent.article is None and not OUTSIDE_ARTICLE.isdisjoint(names)
+            classes, own = (attrs.get("class") or "").lower(), (attrs.get("id") or "").lower()
+            if parent.article is None:
+                named = not (NAMES | OUTSIDE_ARTICLE).isdisjoint(_NAME.split(f"{classes} {own}"))
+            else:  # here ids are anchors: one like "related-work" has to be made of such names alone
+                named = _all_names(own) or (
+                    any(map(_all_names, classes.split())) if tag in HEADINGS else not NAMES.isdisjoint(_NAME.split(classes))
+                )
         elif tag == "article":
             named = not {"comment", "comments", "reply"}.isdisjoint(_NAME.split((attrs.get("class") or "").lower()))
         node = _Node(tag, parent, off, named)
         if tag in ARTICLES and not named:
             up: _Node | None = parent
             while up is not None:  # what holds an article isn't an advert, whatever its class
-                up.named_off, up = False, up.parent
+                up.named_off, up.form, up = False, False, up.parent
         return node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in VOID or tag not in BLOCKS and tag not in NOT_TEXT:
+        if tag in VOID or tag not in BLOCKS:  # a self-closed svg silences nothing after it
             if tag in VOID or tag != "a":
                 self.lines[-1].tags += 1
                 if tag == "br":
@@ -163,9 +172,31 @@ class Lines(HTMLParser):
                 self.lines[-1].links += len("".join(data.split()))
 
 
+def _all_names(name: str) -> bool:
+    words = [w for w in _NAME.split(name) if w]
+    return bool(words) and NAMES.issuperset(words)
+
+
+def _free_forms(lines: list[_Line]) -> None:
+    """Forms that hold most of the page's text are its frame, not a form of it."""
+    total, sizes = 0, {}
+    for line in lines:
+        forms, node, n = [], line.node, len("".join("".join(line.parts).split()))
+        while node is not None and not (node.off or node.named_off):
+            if node.form:
+                forms.append(node)
+            node = node.parent
+        if node is None:
+            total += n
+            for form in forms:
+                sizes[form] = sizes.get(form, 0) + n
+    for form, n in sizes.items():
+        form.form = 2 * n <= total
+
+
 def _off(node: _Node | None) -> bool:
     while node is not None:
-        if node.off or node.named_off:
+        if node.off or node.named_off or node.form:
             return True
         node = node.parent
     return False
@@ -182,6 +213,7 @@ def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(html or "")
     parser.close()
+    _free_forms(parser.lines)
     lines = []
     for line in parser.lines:
         text = " ".join("".join(line.parts).split())
@@ -189,8 +221,10 @@ def main_text(html: str | None) -> str:
             lines.append((line, "" if _off(line.node) else text))
     if not any(text for _, text in lines):
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, line.tags) for line, text in lines], float))
-    content = ratios > THRESHOLD * ratios.std()
+    raw = np.array([len(text) / max(1, line.tags) for line, text in lines], float)
+    ratios = smoothed(raw)
+    limit = THRESHOLD * ratios.std()
+    content = ratios > limit
     weight: dict[_Node | None, float] = {}
     for (line, text), high in zip(lines, content, strict=True):
         if text:
@@ -207,8 +241,13 @@ def main_text(html: str | None) -> str:
         first -= 1
     while last + 1 < len(lines) and lines[last + 1][1] and _siblings(lines[last + 1][0], lines[last][0]):
         last += 1
+    # A line mostly of links counts if it is long itself, or stands beside other text in one block.
+    plain = [line.links <= MOST_LINKS * len("".join(text.split())) for line, text in lines]
+    beside = {(line.node.parent, line.node.tag) for (line, text), high, p in zip(lines, content, plain, strict=True) if text and high and p}
     return "\n\n".join(
-        text for line, text in lines[first : last + 1] if text and line.links <= MOST_LINKS * len("".join(text.split()))
+        text
+        for (line, text), p, r in list(zip(lines, plain, raw, strict=True))[first : last + 1]
+        if text and (p or r > limit or (line.node.parent, line.node.tag) in beside)
     )
 
 

@@ -303,6 +303,23 @@ def test_main_text(spark):
     assert got[99]["text"] == "" and got[99]["url"] is None
 
 
+PROSE = " ".join(["Plain prose that goes on for a while."] * 6)
+KEPT_PAGES = {
+    f"<svg viewBox='0 0 1 1'/><math/><object data=x /><p>{PROSE}</p>": PROSE,
+    f"<article><p>One.<svg/></p><p>{PROSE}</p></article>": f"One.\n\n{PROSE}",
+    f"<body><form id=aspnetForm><article><p>{PROSE}</p></article></form></body>": PROSE,
+    f"<body><form action=/><div><p>{PROSE}</p><p>{PROSE}</p></div></form></body>": f"{PROSE}\n\n{PROSE}",
+    f"<article><p>{PROSE}</p><section id='related-work'><p>{PROSE}</p></section><h2 id='social-history'>Social history</h2><p>{PROSE}</p>"
+    f"<section id='related'>Other</section><div class='share-bar'>Share</div></article>": f"{PROSE}\n\n{PROSE}\n\nSocial history\n\n{PROSE}",
+    f"<div><p>{PROSE}</p><p><a href=/x>{PROSE}</a></p><p>{PROSE}</p></div>": f"{PROSE}\n\n{PROSE}\n\n{PROSE}",
+}
+
+
+@pytest.mark.parametrize("page", KEPT_PAGES)
+def test_main_text_keeps(page):
+    assert html_text.main_text(page) == KEPT_PAGES[page]
+
+
 # Toxicity
 
 
