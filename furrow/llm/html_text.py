@@ -4,8 +4,9 @@ The standard library's parser streams a page's events. Block elements cut the pa
 into lines; each line has its text, the tags met in it, and how much of it is link
 text. The text-to-tag ratio of the lines is smoothed with a Gaussian, and lines
 above a threshold (half the standard deviation of the smoothed ratios) cluster
-into content regions. The region with the most text, within an article element
-where the page has one, is the main text. Menus, headers, footers, sidebars,
+into content regions, which take in the rest of their blocks, headings before them
+and short gaps. Article elements are a prior: their lines need a quarter of the
+threshold, and where one has a cluster, lines outside of articles are left out. Menus, headers, footers, sidebars,
 notices, adverts, forms and comments, known by element, role or class, count as
 lines without text.
 """
@@ -54,6 +55,10 @@ SCOPES = set("ul ol dl table div section article main body".split())
 SIGMA = 1.0
 THRESHOLD = 0.5
 MOST_LINKS = 0.5
+#: Inside an article a line needs this share of the threshold.
+ARTICLE = 0.25
+#: Lines of text between two clusters that belong to both.
+MOST_GAP = 3
 
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _NAME = re.compile(r"[^a-z0-9]+")
@@ -225,30 +230,34 @@ def main_text(html: str | None) -> str:
     ratios = smoothed(raw)
     limit = THRESHOLD * ratios.std()
     content = ratios > limit
-    weight: dict[_Node | None, float] = {}
-    for (line, text), high in zip(lines, content, strict=True):
-        if text:
-            weight[line.node.article] = weight.get(line.node.article, 0) + len(text) * (1 if high else 0.1)
-    within = [a for a in weight if a is not None]
-    if within:
-        best = max(within, key=weight.__getitem__)
-        return "\n\n".join(text for line, text in lines if text and _inside(line.node, best))
-    runs = [i for i, ((_, text), high) in enumerate(zip(lines, content, strict=True)) if text and high]
-    if not runs:
-        runs = [max(range(len(lines)), key=lambda i: len(lines[i][1]))]
-    first, last = runs[0], runs[-1]
-    while first and lines[first - 1][1] and (_siblings(lines[first - 1][0], lines[first][0]) or lines[first - 1][0].node.tag in ("h1", "h2")):
-        first -= 1
-    while last + 1 < len(lines) and lines[last + 1][1] and _siblings(lines[last + 1][0], lines[last][0]):
-        last += 1
-    # A line mostly of links counts if it is long itself, or stands beside other text in one block.
-    plain = [line.links <= MOST_LINKS * len("".join(text.split())) for line, text in lines]
-    beside = {(line.node.parent, line.node.tag) for (line, text), high, p in zip(lines, content, plain, strict=True) if text and high and p}
-    return "\n\n".join(
-        text
-        for (line, text), p, r in list(zip(lines, plain, raw, strict=True))[first : last + 1]
-        if text and (p or r > limit or (line.node.parent, line.node.tag) in beside)
-    )
+    # Articles are a prior: their lines need less, and where one has a cluster, only articles do.
+    inside = np.array([line.node.article is not None for line, _ in lines])
+    shown = np.array([bool(text) for _, text in lines])
+    plain = np.array([line.links <= MOST_LINKS * len("".join(text.split())) for line, text in lines])
+    seeds = shown & plain & content
+    of = inside if (seeds & inside).any() else ~inside if (seeds & ~inside).any() else np.ones(len(lines), bool)
+    seeds &= of
+    if not seeds.any():
+        seeds[max(range(len(lines)), key=lambda i: len(lines[i][1]))] = True
+    # A line mostly of links outside articles counts if it is long itself, or stands beside other text in one block.
+    beside = {(line.node.parent, line.node.tag) for (line, _), seed in zip(lines, seeds, strict=True) if seed}
+    linked = np.array([(line.node.parent, line.node.tag) in beside for line, _ in lines]) | (raw > limit)
+    may = shown & of & (plain | inside | linked)
+    kept = may & (seeds | (ratios > np.where(inside, ARTICLE, 1.0) * limit))
+    # A line that is long itself takes in those on both sides that stand in one block with it; a cluster, the headings before it.
+    block = seeds & (raw > limit) if (seeds & (raw > limit)).any() else seeds.copy()
+    for step in (1, -1):
+        for at in range(len(lines))[::step]:
+            by = at - step
+            if may[at] and 0 <= by < len(lines):
+                block[at] |= block[by] and _siblings(lines[at][0], lines[by][0])
+                kept[at] |= block[at] or step < 0 and kept[by] and lines[at][0].node.tag in HEADINGS
+    # Clusters with a short gap between them, all of it text, are one.
+    ends = np.flatnonzero(kept)
+    for a, b in zip(ends, ends[1:], strict=False):
+        if 1 < b - a <= MOST_GAP + 1 and may[a + 1 : b].all():
+            kept[a:b] = True
+    return "\n\n".join(text for (_, text), keep in zip(lines, kept, strict=True) if keep)
 
 
 def _siblings(a: _Line, b: _Line) -> bool:
@@ -256,12 +265,6 @@ def _siblings(a: _Line, b: _Line) -> bool:
     return a.node is b.node or a.node.parent is b.node.parent and a.node.parent is not None
 
 
-def _inside(node: _Node | None, of: _Node) -> bool:
-    while node is not None and node is not of:
-        node = node.parent
-    return node is of
-
-
 def extracted(htmls: pa.Array) -> pa.Array:
     return pa.array([main_text(h.as_py()) for h in htmls], pa.string())
 

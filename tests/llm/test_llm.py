@@ -320,6 +320,17 @@ def test_main_text_keeps(page):
     assert html_text.main_text(page) == KEPT_PAGES[page]
 
 
+def test_main_text_clusters_lines():
+    tags = "".join(f"<ul><li><a href=/t><b>tag{i}</b></a></li></ul>" for i in range(12))
+    page = f"<article><h1>Head</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><div>{tags}</div></article><article><p>{PROSE}</p><p>End.</p></article>"
+    got = html_text.main_text(page).split("\n\n")
+    assert [x for x in got if not x.startswith("tag")] == ["Head", PROSE, "Short.", PROSE, PROSE, "End."]
+    assert not {f"tag{i}" for i in range(2, 10)} & set(got)
+    bits = "".join(f"<div><b>x{i}</b><i>y</i></div>" for i in range(12))
+    got = html_text.main_text(f"<div><p>{PROSE}</p></div><div><div>{bits}</div></div><section><p>{PROSE}</p><p>End.</p></section>").split("\n\n")
+    assert [x for x in got if not x.startswith("x")] == [PROSE, PROSE, "End."] and not {f"x{i}y" for i in range(2, 10)} & set(got)
+
+
 # Toxicity
 
 
