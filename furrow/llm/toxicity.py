@@ -9,7 +9,7 @@ that scores highest in each text gives the gradient, for the embeddings and the
 softmax together.
 
 The sample to learn from is bounded (``PER_CLASS`` texts of each label in the order
-of a hash, at most ``SAMPLE_BYTES``), the model's size is fixed, and it is broadcast.
+of a hash, without the longest where they are over ``SAMPLE_BYTES``), the model's size is fixed, and it is broadcast.
 Scoring reads each text whole, by itself, without a shuffle.
 """
 
@@ -191,7 +191,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     ranked = known.where(rough < share).withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("order")))
     chosen = ranked.where(F.col("rank") <= per_class).select("doc_id", "toxic", "order")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "order").agg(F.min("text").alias("text"))
-    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy("order"))
+    # From the shortest on, so that a very long text is the one left out, not those behind it.
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    upto = F.sum(size).over(Window.partitionBy("toxic").orderBy(size, "order").rowsBetween(Window.unboundedPreceding, 0))
     rate = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     return texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES // 2).select("text", "toxic", "order"), rate
 

@@ -367,6 +367,15 @@ def test_toxicity_without_labels(spark):
     assert 0 <= model.score("a") <= 1 and 0 <= model.score(None) <= 1
 
 
+def test_one_long_text_leaves_the_others_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 8000)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    first = min(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    df = docs(spark, [(i, "word " * (2000 if i == first else 5)) for i in ids])
+    sample, _ = toxicity.training_sample(df, spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int"))
+    assert sample.count() == len(ids) - 1
+
+
 # Chat
 
 
