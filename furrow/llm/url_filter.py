@@ -1,9 +1,9 @@
 """URL filters by rules and empirical-Bayes host reputation, in DataFrame functions only.
 
 Rules come first. For the rest, the share of bad outcomes among a host's labelled
-pages is shrunk through beta-binomial priors: the suffix (last label of the host)
-towards all pages, the registered domain (last two labels) towards its suffix, the
-host towards its domain. How strongly each level is shrunk is estimated from how
+pages is shrunk through beta-binomial priors: the suffix (last label of the host, or
+the last two where ``SUFFIXES`` has them) towards all pages, the registered domain
+(one label more) towards its suffix, the host towards its domain. Ports don't count. How strongly each level is shrunk is estimated from how
 much more its groups differ than chance would have it (the intra-class
 correlation by moments). A host is blocked if the lower posterior bound of its bad
 share lies above the limit.
@@ -24,6 +24,22 @@ from furrow.llm.shared import free_name, settle
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's. At most some thousands.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Public suffixes of two labels, country by country; all others count as one label.
+SUFFIXES = tuple(
+    f"{second}.{country}"
+    for country, seconds in {
+        "uk": "co org ac gov ltd plc me net sch nhs", "au": "com net org edu gov id asn", "nz": "co net org ac govt school geek",
+        "br": "com net org gov edu art blog", "jp": "co ne or ac go ad ed gr lg", "kr": "co ne or ac go re pe",
+        "in": "co net org gen firm ind ac edu gov nic", "za": "co net org web gov ac", "il": "co org net ac gov muni",
+        "cn": "com net org gov edu ac", "tw": "com net org gov edu idv", "hk": "com net org gov edu idv", "sg": "com net org gov edu per",
+        "my": "com net org gov edu name", "th": "co in ac go or net", "id": "co or web ac go sch my", "ph": "com net org gov edu",
+        "vn": "com net org gov edu", "tr": "com net org gov edu web gen", "ua": "com net org gov edu in", "pl": "com net org gov edu",
+        "mx": "com net org gob edu", "ar": "com net org gob edu", "co": "com net org gov edu", "pe": "com net org gob edu",
+        "at": "co or ac gv", "hu": "co org", "es": "com nom org gob edu", "pt": "com org gov edu", "gr": "com net org gov edu",
+        "eg": "com net org gov edu", "ng": "com net org gov edu", "ke": "co or ne go ac", "sa": "com net org gov edu", "pk": "com net org gov edu",
+    }.items()
+    for second in seconds.split()
+)
 MOST_BAD = 0.5
 Z = 1.645
 #: Limits of the estimated correlation, and its value where nothing can be estimated.
@@ -39,12 +55,20 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_port(of: Column) -> Column:
+    return F.regexp_replace(of, r":[0-9]*$", "")
+
+
 def suffix(of: Column) -> Column:
-    return F.substring_index(of, ".", -1)
+    name = without_port(of)
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain(of: Column) -> Column:
-    return F.substring_index(of, ".", -2)
+    name = without_port(of)
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_of(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
@@ -88,13 +112,13 @@ def reputations(hosts: DataFrame, outcomes: DataFrame, most_bad: float = MOST_BA
 
     suffixes, s_suffix = level("suffix", suffix)
     domains, s_domain = level("domain", domain)
-    by, s_host = level("of_host", lambda h: h)
+    by, s_host = level("of_host", without_port)
     n, bad = by_host.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
     known = (
         hosts.withColumns({"suffix": suffix(F.col("host")), "domain": domain(F.col("host"))})
         .join(suffixes, "suffix", "left")
         .join(domains, "domain", "left")
-        .join(by, F.col("host") == F.col("of_host"), "left")
+        .join(by, without_port(F.col("host")) == F.col("of_host"), "left")
     )
 
     def shrunk(name: str, towards: Column, s: float) -> Column:

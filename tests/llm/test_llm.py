@@ -481,3 +481,18 @@ def test_codewords_differ(n):
     code = language.codewords(n)
     apart = [(a != b).sum() for a, b in itertools.combinations(code, 2)]
     assert not apart or min(apart) >= (1 if n < 3 else 2)
+
+
+def test_url_suffixes_and_ports(spark):
+    hosts = {
+        "www.shop.co.uk": ("co.uk", "shop.co.uk"), "a.b.com.br:8080": ("com.br", "b.com.br"), "co.uk": ("co.uk", "co.uk"),
+        "x.example.com:443": ("com", "example.com"), "example.org": ("org", "example.org"), "": ("", ""), "localhost:80": ("localhost", "localhost"),
+    }
+    h = F.col("host")
+    df = spark.createDataFrame([(x,) for x in hosts], "host string").select(h, url_filter.suffix(h).alias("s"), url_filter.domain(h).alias("d"))
+    assert {r["host"]: (r["s"], r["d"]) for r in df.collect()} == hosts
+    bad = [(f"http://{x}.bad.co.uk/", 1) for x in "abcdef" for _ in range(20)]
+    good = [(f"http://{x}.good.co.uk:80/", 0) for x in "abcdef" for _ in range(20)]
+    pages = spark.createDataFrame([("http://new.bad.co.uk/",), ("http://new.good.co.uk/",), ("http://a.bad.co.uk:81/",)], "url string")
+    got = {r["url"]: r["verdict"] for r in url_filter.judge(pages, spark.createDataFrame(bad + good, "url string, bad int")).collect()}
+    assert got == {"http://new.bad.co.uk/": "block", "http://new.good.co.uk/": "allow", "http://a.bad.co.uk:81/": "block"}
