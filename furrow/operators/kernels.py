@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 from furrow.functions.exprs import dot, squared_distance
 
 
-def pairs(df: DataFrame, entity: str, columns: list[str], blocks: int = 8, within: str | None = None) -> DataFrame:
-    """(i, j, <column>_i, <column>_j) for i <= j; within restricts pairs to equal values of a column."""
-    n = F.lit(blocks)
+#: Entities in a block: a task pairs two blocks, so it makes at most about this squared.
+BLOCK = 1000
+
+
+def pairs(df: DataFrame, entity: str, columns: list[str], within: str | None = None) -> DataFrame:
+    """(i, j, <column>_i, <column>_j) for i <= j; within restricts pairs to equal values of a column.
+
+    The number of blocks follows the counted entities, so that a task's share doesn't grow with the table.
+    """
+    n = F.lit(max(4, -(-df.count() // BLOCK)))
     block = F.pmod(F.xxhash64(entity), n)
     keep = [entity, *columns, *([within] if within else [])]
     base = df.select(*keep).withColumn("_b", block)

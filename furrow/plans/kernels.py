@@ -10,21 +10,19 @@ from furrow.operators import kernels as K
 from furrow.operators import relational as R
 from furrow.plans.registry import Tables, query
 
-_X = "x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id < 40)"
+_X = "x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
 #: Dosages 0, 1, 2 from fixed cuts of the coordinates.
-_D = "d AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: CASE WHEN v < -0.05 THEN 0 WHEN v < 0.05 THEN 1 ELSE 2 END) AS d, label FROM embeddings WHERE vec_id < 40)"
+_D = "d AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda v: CASE WHEN v < -0.05 THEN 0 WHEN v < 0.05 THEN 1 ELSE 2 END) AS d, label FROM embeddings)"
 _DL = _D + ", l AS (SELECT id, i - 1 AS locus, d[i] AS d FROM d, range(1, 65) r(i)), f AS (SELECT locus, avg(d) / 2 AS p FROM l GROUP BY 1)"
 
 
-def vectors(t: Tables, upto: int | None = 40) -> DataFrame:
-    """The vectors below an id, as the SQL twins have them; all with None."""
-    x = t("embeddings", "vec_id", "embedding", "label").withColumnRenamed("vec_id", "id")
-    return x if upto is None else x.where(F.col("id") < upto)
+def vectors(t: Tables) -> DataFrame:
+    return t("embeddings", "vec_id", "embedding", "label").withColumnRenamed("vec_id", "id")
 
 
-def dosages(t: Tables, upto: int | None = 40) -> DataFrame:
+def dosages(t: Tables) -> DataFrame:
     cut = lambda v: F.when(v.cast("double") < -0.05, 0).when(v.cast("double") < 0.05, 1).otherwise(2)
-    return vectors(t, upto).select("id", F.transform("embedding", cut).alias("d"), "label")
+    return vectors(t).select("id", F.transform("embedding", cut).alias("d"), "label")
 
 
 def out(k: DataFrame, digits: int = 6) -> DataFrame:
@@ -153,12 +151,14 @@ def l14_model_membership(t: Tables) -> DataFrame:
     return left.groupBy("model").agg(*flags, F.count("*").alias("terms"))
 
 
-@query(f"""WITH {_DL}, s AS (SELECT locus, p, least(p, 1 - p) AS maf FROM f)
-          SELECT CAST(locus AS INTEGER) AS locus, round(maf, 6) AS maf FROM s WHERE maf >= 0.3""")
+@query(f"""WITH {_DL}, s AS (SELECT locus, avg(d) / 2 AS p, count(d) AS n FROM l GROUP BY 1)
+          SELECT CAST(locus AS INTEGER) AS locus, round(least(p, 1 - p), 6) AS maf FROM s WHERE least(p, 1 - p) >= 0.3 AND n = (SELECT count(*) FROM d)""")
 def n01_locus_filter(t: Tables) -> DataFrame:
+    """Loci without a missing dosage whose rarer allele is frequent enough."""
     freq = K.allele_frequencies(dosages(t), "id", "d")
+    entities = F.broadcast(dosages(t).agg(F.count("*").alias("entities")))
     maf = F.least("p", 1 - F.col("p"))
-    return freq.where((maf >= 0.3) & (F.col("n") == 40)).select("locus", rounded(maf).alias("maf"))
+    return freq.join(entities, F.col("n") == F.col("entities")).where(maf >= 0.3).select("locus", rounded(maf).alias("maf"))
 
 
 @query(f"WITH {_D} SELECT CAST(count(*) FILTER (v NOT IN (0, 1, 2) OR v IS NULL) AS BIGINT) AS bad, CAST(count(*) AS BIGINT) AS cells FROM (SELECT unnest(list_concat(d, [7])) AS v FROM d)")

@@ -65,39 +65,39 @@ def f09_variance_components(t: Tables) -> DataFrame:
 
 @query()
 def f10_principal_components(t: Tables) -> DataFrame:
-    x = vectors(t, None)
+    x = vectors(t)
     return M.eigen_projection(K.scaled_features(x, "id", "embedding"), "z", "id", 3)
 
 
 @query()
 def l04_kernel_eigen(t: Tables) -> DataFrame:
-    values, _ = M.eigen(vectors(t, None), "embedding", 10)
+    values, _ = M.eigen(vectors(t), "embedding", 10)
     return t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, value double")
 
 
 @query()
 def l06_eigen_projection(t: Tables) -> DataFrame:
-    return M.eigen_projection(vectors(t, None), "embedding", "id", 10)
+    return M.eigen_projection(vectors(t), "embedding", "id", 10)
 
 
 @query()
 def n05_relationship_features(t: Tables) -> DataFrame:
-    return M.eigen_projection(dosages(t, None).withColumn("d", F.transform("d", lambda v: v.cast("double"))), "d", "id", 5)
+    return M.eigen_projection(dosages(t).withColumn("d", F.transform("d", lambda v: v.cast("double"))), "d", "id", 5)
 
 
 @query()
 def n10_genotype_probabilities(t: Tables) -> DataFrame:
     observed = F.transform("d", lambda v: F.when(v != 1, (v / 2).cast("int")))
-    return M.state_probabilities(dosages(t, None).withColumn("o", observed), "id", "o")
+    return M.state_probabilities(dosages(t).withColumn("o", observed), "id", "o")
 
 
 def _traits(t: Tables) -> DataFrame:
-    long = vectors(t, None).select("id", F.get("embedding", F.lit(0)).cast("double").alias("t0"), (F.get("embedding", F.lit(1)) + F.get("embedding", F.lit(2))).cast("double").alias("t1"))
+    long = vectors(t).select("id", F.get("embedding", F.lit(0)).cast("double").alias("t0"), (F.get("embedding", F.lit(1)) + F.get("embedding", F.lit(2))).cast("double").alias("t1"))
     return long.unpivot(["id"], ["t0", "t1"], "trait", "y")
 
 
 def _tall(t: Tables) -> DataFrame:
-    return dosages(t, None).select("id", F.posexplode("d").alias("locus", "d"))
+    return dosages(t).select("id", F.posexplode("d").alias("locus", "d"))
 
 
 @query()
@@ -126,7 +126,7 @@ def n15_blup_at_peaks(t: Tables) -> DataFrame:
 
 def _responses(t: Tables) -> DataFrame:
     y = F.when(F.col("id") % 4 != 0, F.get("embedding", F.lit(0)).cast("double") * 2 + F.get("embedding", F.lit(5)).cast("double"))
-    return vectors(t, None).withColumn("y", y)
+    return vectors(t).withColumn("y", y)
 
 
 @query()
@@ -167,7 +167,7 @@ def x11_view_assembly(t: Tables) -> DataFrame:
 def c20_effective_rank(t: Tables) -> DataFrame:
     rows = []
     for fold in range(1, 6):
-        values, _ = M.eigen(vectors(t, None).where(F.pmod(F.xxhash64("id"), F.lit(5)) != fold - 1), "embedding", 64)
+        values, _ = M.eigen(vectors(t).where(F.pmod(F.xxhash64("id"), F.lit(5)) != fold - 1), "embedding", 64)
         rows.append((fold, len(values)))
     return t.spark.createDataFrame(rows, "fold int, rank int")
 
@@ -276,7 +276,7 @@ def s09_vcf_samples(t: Tables) -> DataFrame:
 
 @query()
 def s10_wide_genotypes(t: Tables) -> DataFrame:
-    d = dosages(t, None)
+    d = dosages(t)
     ids = [r["id"] for r in d.select("id").distinct().orderBy("id").collect()]
     wide = d.groupBy().pivot("id", ids).agg(F.first("d"))
     long = wide.select(F.posexplode(F.arrays_zip(*(f"`{i}`" for i in ids))).alias("locus", "z")).select("locus", *(F.col(f"z.`{i}`").alias(f"taxon{i}") for i in ids))
@@ -285,13 +285,13 @@ def s10_wide_genotypes(t: Tables) -> DataFrame:
 
 @query()
 def s11_dosage_table(t: Tables) -> DataFrame:
-    return dosages(t, None).select("id", F.transform("d", lambda v: v.cast("byte")).alias("dosage"))
+    return dosages(t).select("id", F.transform("d", lambda v: v.cast("byte")).alias("dosage"))
 
 
 @query()
 def s14_serialized_objects(t: Tables) -> DataFrame:
     with FS.scratch(t.spark) as folder:
-        vectors(t, None).write.parquet(f"{folder}/v")
+        vectors(t).write.parquet(f"{folder}/v")
         return FS.landed(t.spark.read.parquet(f"{folder}/v"))
 
 

@@ -326,15 +326,14 @@ def j16_null_safe_join(t: Tables) -> DataFrame:
     return a.join(b, F.col("k").eqNullSafe(F.col("rk"))).select("c_custkey", "r_name")
 
 
-_PAIRS = """WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id < 60)"""
+_PAIRS = """WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"""
 
 
 @query(_PAIRS + " SELECT a.id AS i, b.id AS j, round(list_dot_product(a.e, b.e), 6) + 0.0 AS k FROM x a JOIN x b ON a.id <= b.id AND a.label = b.label")
 def j17_all_pairs(t: Tables) -> DataFrame:
     from furrow.operators.kernels import pair_kernel
 
-    x = t("embeddings", "vec_id", "embedding", "label").where("vec_id < 60")
-    return pair_kernel(x, "vec_id", "embedding", kind="dot", within="label").select("i", "j", rounded("k").alias("k"))
+    return pair_kernel(t("embeddings", "vec_id", "embedding", "label"), "vec_id", "embedding", kind="dot", within="label").select("i", "j", rounded("k").alias("k"))
 
 
 _PAIRED = """WITH m AS (SELECT o_orderpriority AS model, c_nationkey AS fold, avg(o_totalprice) AS r, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) """
@@ -480,9 +479,9 @@ def r03_densify(t: Tables) -> DataFrame:
     return R.densify(daily, "user_id", "day", t.spark.range(30).withColumnRenamed("id", "day"))
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) + 0.0 AS v FROM embeddings, range(1, 65) r(i) WHERE vec_id < 50 AND embedding[i] > 0")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) + 0.0 AS v FROM embeddings, range(1, 65) r(i) WHERE embedding[i] > 0")
 def r04_array_to_tall(t: Tables) -> DataFrame:
-    tall = t("embeddings", "vec_id", "embedding").where("vec_id < 50").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    tall = t("embeddings", "vec_id", "embedding").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
     return tall.where("v > 0").select("vec_id", "pos", rounded(F.col("v").cast("double")).alias("v"))
 
 
