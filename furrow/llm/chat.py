@@ -38,9 +38,11 @@ def written(role: Column, text: Column) -> Column:
 def conversations_of(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): each conversation's turns in order of turn, then role and text where turns tie.
 
-    A null role or text is empty, a null turn comes first. A conversation has to
-    be one row here, as its digest is one; rows that share a null conv_id are one
-    conversation.
+    A null role or text is empty, a null turn comes first; repeated rows are turns
+    of their own. Roles and texts may be of any length. An empty table has no
+    conversation. Other columns of rows, whatever their names, are left out. A
+    conversation has to be one row here, as its digest is one; rows that share a
+    null conv_id are one conversation.
     """
     turn = F.struct(
         F.col("turn").cast("bigint").alias("turn"),
@@ -76,13 +78,18 @@ def examples(rows: DataFrame) -> DataFrame:
     )
 
 
+#: A role as it is written: possessive, so that the matcher neither recurses nor goes back, however long the role.
+_ROLE = r"[^\\\n]*+(?:\\.[^\\\n]*+)*+"
+
+
 def _body(turn: Column) -> Column:
-    """The unescaped text of one formatted turn."""
-    return unescaped(F.regexp_extract(turn, r"(?s)^<\|im_start\|>(?:[^\\\n]|\\.)*\n(.*)<\|im_end\|>\n$", 1))
+    """The unescaped text of one formatted turn: what follows the role, without the end mark."""
+    said = F.regexp_replace(turn, rf"(?s)^<\|im_start\|>{_ROLE}\n", "")
+    return unescaped(F.substr(said, F.lit(1), F.char_length(said) - len(END)))
 
 
 def _role(turn: Column) -> Column:
-    return unescaped(F.regexp_extract(turn, r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n", 1))
+    return unescaped(F.regexp_extract(turn, rf"(?s)^<\|im_start\|>({_ROLE})\n", 1))
 
 
 def read_back(made: DataFrame) -> DataFrame:
