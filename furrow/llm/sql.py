@@ -10,7 +10,7 @@ _WORDS = rf"coalesce(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]
 SQL["op1_decontaminate"] = f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
 wins AS (
-  SELECT DISTINCT item, least(13, len(w)) AS k,
+  SELECT DISTINCT coalesce('i' || item, 'null') AS item, least(13, len(w)) AS k,
          array_to_string(list_slice(w, CAST(i AS BIGINT), CAST(i + least(13, len(w)) - 1 AS BIGINT)), ' ') AS win
   FROM items, unnest(range(1, greatest(2, len(w) - 11))) AS r(i) WHERE len(w) > 0),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
@@ -19,8 +19,8 @@ docwins AS (
   FROM docs, (SELECT DISTINCT k FROM wins), unnest(range(1, greatest(1, len(w) - k + 2))) AS r(i)),
 hits AS (SELECT d.rid, d.i, d.k, w.item FROM docwins d JOIN wins w ON d.k = w.k AND d.win = w.win),
 words AS (SELECT rid, count(DISTINCT j) AS n_hit FROM hits, unnest(range(i, i + k)) AS r(j) GROUP BY rid),
-found AS (SELECT rid, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids
-          FROM hits WHERE item IS NOT NULL GROUP BY rid)
+found AS (SELECT rid, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item[2:]) FILTER (item <> 'null')), ',') AS ids
+          FROM hits GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

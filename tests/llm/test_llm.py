@@ -49,9 +49,8 @@ def hits_by_brute_force(text, items, window=13):
             for at in range(len(words) - len(p) + 1):
                 if words[at : at + len(p)] == p:
                     hit |= set(range(at, at + len(p)))
-                    if item_id is not None:
-                        found.add(str(item_id))
-    return len(words), len(hit), sorted(found)
+                    found.add(None if item_id is None else str(item_id))
+    return len(words), len(hit), sorted(i for i in found if i is not None), len(found)
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 200])
@@ -73,14 +72,28 @@ def test_decontamination_finds_what_brute_force_finds(spark, block_bytes):
     got = decontaminate.contamination(df, bench, block_bytes=block_bytes).collect()
     assert len(got) == len(rows)
     for r in got:
-        n, h, ids = hits_by_brute_force(r["text"], items)
+        n, h, ids, n_items = hits_by_brute_force(r["text"], items)
         c = r["contamination"]
-        assert (c["n_words"], c["n_hit"], c["items"]) == (n, h, ids), r["doc_id"]
+        assert (c["n_words"], c["n_hit"], c["items"], c["n_items"]) == (n, h, ids, n_items), r["doc_id"]
         assert c["contaminated"] == (h > 0 and 20 * h >= n)
         assert c["items_sha256"] == hashlib.sha256(",".join(ids).encode()).hexdigest()
         assert r["hits_so_far"] == "mine"
 
 
+def test_decontamination_in_many_blocks_keeps_one_worker_a_task(spark):
+    rng = random.Random(21)
+    items = [(i, sentence(rng, 60)) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"{sentence(rng, 20)} {' '.join(items[i % 40][1].split()[5:30])} {sentence(rng, 400)}") for i in range(60)] + [(99, None)]
+    df = docs(spark, rows)
+    small = sum(len(t) for _, t in items) // 20
+    assert len(list(decontaminate._blocks(bench, small))) >= 20
+    many, one = decontaminate.contamination(df, bench, block_bytes=small), decontaminate.contamination(df, bench)
+    assert many._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
+    assert one._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 1
+    assert sorted((r["doc_id"], r["contamination"]) for r in many.collect()) == sorted((r["doc_id"], r["contamination"]) for r in one.collect())
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs(spark, []), none).count() == 0
