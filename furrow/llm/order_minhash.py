@@ -6,20 +6,28 @@ the smallest hashes and keeps them in text order, so that two texts share a
 sketch only if they share these k-mers in the same order. Two texts are linked if
 their aligned k-mers (the longest common subsequence within the band that a
 similarity of 0.8 allows) are at least 0.8 of the union of both. At 0.8, a sketch
-is shared with a chance of about one half, so a link between texts stays
-unproposed with a chance of about 6e-7.
+is shared with a chance of about one half. Only texts that share ``SHARED``
+sketches are compared, so a link between texts stays unproposed with a chance of
+about 2e-5.
 
 Exact copies (equal words) collapse into one unit before anything else. Candidates
-come from sketch buckets, without ever making all pairs of a bucket:
+come from sketch buckets, without making all pairs of a bucket that has found
+itself to be one group:
 
-1. each unit of a bucket is compared with the bucket's least unit (a star);
+1. each unit is compared with the unit that is the least one in most of its
+   buckets: one comparison for each unit;
 2. links make components; a bucket whose units are all in one component is done;
-3. in each other bucket, units outside its largest component are compared with
-   all units of other components, in blocks of bounded size, so that no link is
-   lost: a pair is skipped only where it is connected already. In a block, shared
-   k-mers are counted for all rows at once by an inverted index.
-
-Only hashes of k-mers of candidate units are shuffled, never whole texts of others.
+3. in each other bucket, units outside its largest component are held against
+   the units of other components, in blocks of bounded size: first their sketches,
+   then, for units that share enough of them with another, their k-mers (counted
+   for all rows of the block at once by an inverted index, then aligned). A pair is
+   skipped only where it is connected already, so no link is lost. Work within a
+   block is quadratic where many units share sketches and yet aren't linked.
+
+What is shuffled: for all texts their sketches, and the texts themselves once, by
+row, to pick the candidates' (an equal row key is all that picks them); for
+candidates, their k-mers once in step 1, and in step 3 those with enough shared
+sketches.
 """
 
 from __future__ import annotations
@@ -34,18 +42,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.components import components
-from furrow.llm.shared import free_name, lean_batches, settle
+from furrow.llm.shared import BROADCAST_BYTES, free_name, settle
 from furrow.llm.words import mix64, occurrence_labelled, shingle_hashes, utf8, word_hashes
 
 K = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 TAKE = 3
+#: Sketches that two units have to share.
+SHARED = 2
 #: K-mers in a block of step 3, on average: 8 bytes each.
 BLOCK_KMERS = 500_000
 
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
+#: Bytes of a row of step 3 without its k-mers, at most.
+CLOSE_BYTES = 100
+
 SKETCHED = "struct<unit: binary, n: long, buckets: array<long>>"
 
 
@@ -160,6 +173,23 @@ def verified(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([linked(hashes(x), hashes(y)) for x, y in zip(a, b, strict=True)], pa.bool_())
 
 
+def close_ones(block: pd.DataFrame) -> pd.DataFrame:
+    """The units of one block that share SHARED sketches with a unit of another component, where one of the two asks."""
+    # A unit that asks may be in the block as one that is asked too.
+    block = block.sort_values("asks", ascending=False, kind="stable").drop_duplicates("unit", ignore_index=True)
+    sketches = np.zeros((len(block), SKETCHES), np.int64)
+    for i, x in enumerate(block["buckets"]):
+        sketches[i, : len(x)] = x
+    component, asks = pd.factorize(block["component"])[0], block["asks"].to_numpy(bool)
+    close = np.zeros(len(block), bool)
+    for x in np.flatnonzero(asks):
+        near = ((sketches == sketches[x]) & (sketches[x] != 0)).sum(1) >= SHARED
+        near &= component != component[x]
+        close |= near
+        close[x] |= near.any()
+    return block.loc[close, ["bucket", "i", "j", "unit", "component", "asks"]]
+
+
 def links_between(block: pd.DataFrame) -> pd.DataFrame:
     """Links of the units of one block: of each unit that asks, with units of other components.
 
@@ -205,77 +235,88 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     ``copy`` is an MD5 of id and text: rows that share it are equal. class_id is the
     least doc_id of the class (null if all are null). A null text is a class of
-    its own id, an empty text joins equal texts only. An empty table gives an
-    empty result.
+    its own id, an empty text joins equal texts only. Texts are compared whole,
+    however long. Repeated rows are in one class. An empty table gives an empty
+    result. Other columns of docs, whatever their names, are left out.
     """
-    lean_batches(docs)
     copy = copy_of(text, doc_id)
     seen = settle(
         docs.select(
             F.col(doc_id).alias("doc_id"), copy.alias("copy"), F.arrow_udf(sketched, SKETCHED)(F.col(text)).alias("s")
         ).select("doc_id", "copy", F.coalesce("s.unit", F.encode("copy", "utf-8")).alias("unit"), "s.n", "s.buckets")
     )
-    units = settle(seen.groupBy("unit").agg(F.first("buckets").alias("buckets"), F.min("copy").alias("copy")))
+    units = settle(seen.groupBy("unit").agg(F.first("buckets").alias("buckets"), F.min("copy").alias("copy"), F.first("n").alias("n")))
     keys = units.select(F.explode("buckets").alias("bucket"), "unit")
     # Buckets of equal members would only repeat the same comparisons: two hashes of the set tell them apart.
     counted = settle(
         keys.groupBy("bucket").agg(
             F.min("unit").alias("least"), F.count("*").alias("size"),
             F.bit_xor(F.xxhash64("unit")).alias("set_a"), F.bit_xor(F.xxhash64("unit", F.lit(1))).alias("set_b"),
-        ).where("size > 1").groupBy("size", "set_a", "set_b", "least").agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "least")
+        ).where("size > 1").groupBy("size", "set_a", "set_b", "least").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times"))
+        .select("bucket", "least", "times")
     )
-    members = settle(keys.join(counted, "bucket").select("bucket", "unit", "least"))
-    one = units.select("unit", "copy").join(members.select("unit").distinct(), "unit")
-    texts = docs.select(F.col(text).alias("text"), copy.alias("copy"))
-    kmers = settle(
-        texts.join(one, "copy").groupBy("unit").agg(F.first("text").alias("text"))
-        .select("unit", F.arrow_udf(kmers_of, "array<long>")(F.col("text")).alias("kmers"))
+    members = settle(keys.join(counted, "bucket").select("bucket", "unit", "least", "times"))
+    # What a unit is compared with first: the least unit of most of its buckets, itself where that is no other.
+    votes = members.groupBy("unit", "least").agg(F.sum("times").alias("times"))
+    most = F.max_by("least", F.struct("times", F.col("least") != F.col("unit"), "least"))
+    first = settle(votes.groupBy("unit").agg(most.alias("first"), F.max("times").alias("times")))
+    firsts = first.where((F.col("times") >= SHARED) & (F.col("unit") != F.col("first"))).select("unit", "first")
+    heads = firsts.select(F.col("first").alias("unit"), F.lit(True).alias("head")).distinct()
+    one = units.select("unit", F.col("copy").alias("one")).join(first.select("unit"), "unit").join(firsts, "unit", "left").join(heads, "unit", "left")
+    # The join's own partitioning by row key serves the grouping too: equal rows of one unit are one.
+    candidates = settle(
+        docs.select(F.col(text).alias("text"), copy.alias("one")).join(settle(one), "one")
+        .groupBy("one").agg(*(F.first(c).alias(c) for c in ("unit", "first", "head", "text")))
+        .select("unit", "first", "head", F.arrow_udf(kmers_of, "array<long>")(F.col("text")).alias("kmers"))
     )
+    check = F.arrow_udf(verified, "boolean")(F.col("others"), F.col("kmers"))
+    head = candidates.where("head").select(F.col("unit").alias("first"), F.col("kmers").alias("others"))
+    pairs = candidates.where("first IS NOT NULL").select("unit", "first", "kmers").join(head, "first")
+    links = settle(pairs.where(check).select(F.col("first").alias("a"), F.col("unit").alias("b")))
 
-    star = members.where("unit != least").select(F.col("least").alias("a"), F.col("unit").alias("b")).distinct()
-    first = kmers.select(F.col("unit").alias("a"), F.col("kmers").alias("kmers_a"))
-    second = kmers.select(F.col("unit").alias("b"), F.col("kmers").alias("kmers_b"))
-    check = F.arrow_udf(verified, "boolean")(F.col("kmers_a"), F.col("kmers_b"))
-    links = settle(star.join(first, "a").join(second, "b").where(check).select("a", "b"))
-
-    links = links.unionByName(settle(_rest(members, kmers, components(links))))
+    links = links.unionByName(settle(_rest(members, units, candidates, components(links))))
     found = components(links).withColumnsRenamed({"node": "unit", "component": "class"})
     joined = seen.select("doc_id", "copy", "unit").join(found, "unit", "left")
-    joined = joined.select("doc_id", "copy", F.coalesce("class", "unit").alias("class"))
+    joined = settle(joined.select("doc_id", "copy", F.coalesce("class", "unit").alias("class")))
     each = settle(joined.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return joined.join(each, "class").select("doc_id", "copy", "class_id", "class_size", "class")
 
 
-def _rest(members: DataFrame, kmers: DataFrame, found: DataFrame) -> DataFrame:
-    """Links (a, b) of step 3."""
+def _rest(members: DataFrame, units: DataFrame, kmers: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) of step 3. Sums by bucket are written before they are joined, so that Spark can split a large bucket's rows."""
     named = found.withColumnsRenamed({"node": "unit"})
     placed = settle(members.select("bucket", "unit").join(named, "unit", "left").withColumn("component", F.coalesce("component", "unit")))
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")
-    ).where("parts > 1").drop("parts")
-    sized = placed.join(mixed, "bucket").join(kmers.select("unit", F.size("kmers").alias("k")), "unit")
-    sized = settle(sized.withColumn("asks", F.col("component") != F.col("main")).drop("main"))
-    blocks = sized.groupBy("bucket").agg(
-        F.ceil(F.sum(F.when(F.col("asks"), F.col("k")).otherwise(0)) / BLOCK_KMERS).alias("ask_blocks"),
-        F.ceil(F.sum("k") / BLOCK_KMERS).alias("all_blocks"),
+    mixed = settle(
+        parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+        .where("parts > 1").drop("parts")
+    )
+    sized = settle(
+        placed.join(mixed, "bucket").withColumn("asks", F.col("component") != F.col("main")).drop("main")
+        .join(units.select("unit", F.col("n").alias("k"), "buckets"), "unit")
+    )
+    blocks = settle(
+        sized.groupBy("bucket").agg(
+            F.ceil(F.sum(F.when(F.col("asks"), F.col("k")).otherwise(0)) / BLOCK_KMERS).alias("ask_blocks"),
+            F.ceil(F.sum("k") / BLOCK_KMERS).alias("all_blocks"),
+        )
     )
     at = sized.join(blocks, "bucket")
-    spot = F.xxhash64("unit")
+    spot, row = F.xxhash64("unit"), ["bucket", "unit", "component", "buckets"]
     asking = at.where("asks").select(
-        "bucket", "unit", "component", "asks", F.pmod(spot, "ask_blocks").alias("i"),
+        *row, "asks", F.pmod(spot, "ask_blocks").alias("i"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("all_blocks") - 1)).alias("j"),
     )
     asked = at.select(
-        "bucket", "unit", "component", F.lit(False).alias("asks"),
+        *row, F.lit(False).alias("asks"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask_blocks") - 1)).alias("i"), F.pmod(spot, "all_blocks").alias("j"),
     )
-    rows = asking.unionByName(asked).groupBy("bucket", "i", "j", "unit").agg(
-        F.first("component").alias("component"), F.max("asks").alias("asks")
-    )
+    kind = "bucket long, i long, j long, unit binary, component binary, asks boolean"
+    close = settle(asking.unionByName(asked).groupBy("bucket", "i", "j").applyInPandas(close_ones, kind))
+    if close.count() * CLOSE_BYTES <= BROADCAST_BYTES:
+        close = F.broadcast(close)
     return (
-        rows.join(kmers, "unit")
+        close.join(kmers.select("unit", "kmers"), "unit")
         .groupBy("bucket", "i", "j")
         .applyInPandas(links_between, "a binary, b binary")
         .distinct()
