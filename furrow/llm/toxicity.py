@@ -15,16 +15,15 @@ Scoring reads each text whole, by itself, without a shuffle.
 
 from __future__ import annotations
 
-import zlib
-from array import array
+from collections.abc import Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import lean_batches
-from furrow.llm.words import folded_words
+from furrow.llm.words import folded_words, mix64
 
 #: Bounds of the training sample.
 PER_CLASS = 1500
@@ -32,7 +31,9 @@ SAMPLE_BYTES = 48 << 20
 FOLDS = 5
 #: The model: n-gram lengths, hash buckets, embedding width, words in a window.
 NGRAMS = (3, 4, 5)
-BUCKETS = 1 << 16
+BITS = 16
+BUCKETS = 1 << BITS
+GRAM = np.uint64(0x100000001B3)
 WIDTH = 8
 WINDOW = 12
 #: Training: passes over the sample, step of Adam, weight of the prior against one text of the rarer label.
@@ -44,14 +45,40 @@ TOXIC_WEIGHT = 0.45
 #: N-grams in a block of training, and words that a worker remembers the score of.
 BLOCK = 500_000
 REMEMBERED = 200_000
+#: Words of texts that are scored together.
+TOGETHER = 200_000
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word's character n-grams and of the word itself."""
-    marked = f"<{word.decode('utf-8', 'replace')}>"
-    grams = {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
-    grams.add(marked)
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
+def subwords(words: Sequence[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of words in ``<`` and ``>``, laid end to end.
+
+    (For each length, and last for the words themselves, a bucket at each character where one
+    begins and -1 elsewhere; where each word begins; how many buckets it has.)
+    """
+    marked = [f"<{w.decode('utf-8', 'replace')}>" for w in words]
+    letters = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    begins = np.cumsum(sizes) - sizes
+    left = np.repeat(begins + sizes, sizes) - np.arange(len(letters))
+    rolled, found = np.zeros(len(letters), np.uint64), []
+    for n in range(1, max(NGRAMS) + 1):
+        rolled = rolled[: len(letters) - n + 1] * GRAM + letters[n - 1 :]
+        if n in NGRAMS:
+            at = np.full(len(letters), -1, np.int64)
+            at[: len(rolled)] = np.where(left[: len(rolled)] >= n, (mix64(rolled + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64), -1)
+            found.append(at)
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max()) - 1, GRAM)]), dtype=np.uint64)
+    whole = np.full(len(letters), -1, np.int64)
+    whole[begins] = (mix64(np.add.reduceat(letters * powers[np.arange(len(letters)) - np.repeat(begins, sizes)], begins)) >> np.uint64(64 - BITS)).astype(np.int64)
+    n_grams = 1 + sum(np.maximum(0, sizes - n + 1) for n in NGRAMS)
+    return [*found, whole], begins, n_grams
+
+
+def word_scores(words: Sequence[bytes], bucket_scores: np.ndarray) -> np.ndarray:
+    """The average score of each word's subwords."""
+    found, begins, n_grams = subwords(words)
+    padded = np.append(bucket_scores, 0.0)
+    return np.add.reduceat(sum(padded[at] for at in found), begins) / n_grams
 
 
 def distinct_words(text: str | None) -> list[bytes]:
@@ -59,46 +86,69 @@ def distinct_words(text: str | None) -> list[bytes]:
     return list(dict.fromkeys(folded_words(text)))
 
 
-def windows(n: int) -> np.ndarray:
-    """Starts of half-overlapping windows that cover n words."""
-    return np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
+def all_windows(n: np.ndarray, window: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Half-overlapping windows that cover each text of n words, the texts laid end to end: (begins, ends, first window of each text, text of each window).
+
+    Without a window's size, each text is one window.
+    """
+    step = max(1, (window or 0) // 2)
+    some = np.ones(len(n), np.int64) if window is None else np.maximum(1, -(-(n - step) // step))
+    first, text = np.cumsum(some) - some, np.repeat(np.arange(len(n)), some)
+    offsets = np.cumsum(n) - n
+    begins = offsets[text] + (np.arange(len(text)) - first[text]) * step
+    ends = (offsets + n)[text]
+    return begins, ends if window is None else np.minimum(begins + window, ends), first, text
 
 
 class Model:
     """The trained softmax over embeddings, folded into one number for each bucket."""
 
-    def __init__(self, bucket_scores: np.ndarray, bias: float, base: float):
-        self.bucket_scores, self.bias, self.base = bucket_scores, bias, base
+    def __init__(self, bucket_scores: np.ndarray, bias: float, base: float, window: int | None = WINDOW):
+        self.bucket_scores, self.bias, self.base, self.window = bucket_scores, bias, base, window
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self) -> dict:
-        return {"bucket_scores": self.bucket_scores, "bias": self.bias, "base": self.base, "known": {}}
-
-    def word(self, word: bytes) -> float:
-        s = self.known.get(word)
-        if s is None:
-            if len(self.known) >= REMEMBERED:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Probabilities of label 1; a text without words has the base rate. Texts are worked off together, up to a bounded number of words."""
+        found, batch, n = [], [], 0
+        for t in texts:
+            batch.append(distinct_words(t))
+            n += len(batch[-1])
+            if n >= TOGETHER:
+                found.append(self._scores(batch))
+                batch, n = [], 0
+        return np.concatenate([*found, self._scores(batch)])
+
+    def _scores(self, texts: list[list[bytes]]) -> np.ndarray:
+        n = np.array([len(words) for words in texts], np.int64)
+        out, has = np.full(len(n), self.base), n > 0
+        if has.any():
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
-            grams = subwords(word)
-            s = self.known[word] = float(self.bucket_scores[grams].sum()) / len(grams)
-        return s
+            new = list({w for words in texts for w in words if w not in self.known})
+            if new:
+                self.known.update(zip(new, word_scores(new, self.bucket_scores).tolist(), strict=True))
+            flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), float, int(n.sum()))
+            lo, hi, doc_starts, _ = all_windows(n[has], self.window)
+            sums = np.concatenate([[0.0], np.cumsum(flat)])
+            logits = self.bias + np.maximum.reduceat((sums[hi] - sums[lo]) / (hi - lo), doc_starts)
+            out[has] = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+        return out
 
     def score(self, text: str | None) -> float:
-        """Probability of label 1; a text without words has the base rate."""
-        words = distinct_words(text)
-        if not words:
-            return self.base
-        sums = np.concatenate([[0.0], np.cumsum([self.word(w) for w in words])])
-        starts = windows(len(words))
-        ends = np.minimum(starts + WINDOW, len(words))
-        logit = self.bias + float(((sums[ends] - sums[starts]) / (ends - starts)).max())
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-
-
-def train(texts: list[str | None], labels: list[int], base: float | None = None, seed: int = 7) -> Model:
+        return float(self.scores([text])[0])
+
+
+def train(texts: list[str | None], labels: list[int], base: float | None = None, seed: int = 7, window: int | None = WINDOW) -> Model:
     """Learns embeddings and softmax from whole texts. With no text or one label alone, the base rate is all it knows.
 
-    ``base`` is the share of label 1 (by default that of the given labels).
+    ``base`` is the share of label 1 (by default that of the given labels). With
+    ``window`` None a text is one bag, the average of all its words.
     """
     y = np.asarray(labels, float)
     base = float((y.sum() + 0.5) / (len(y) + 1)) if base is None else base
@@ -108,25 +158,22 @@ def train(texts: list[str | None], labels: list[int], base: float | None = None,
         at.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in distinct_words(t)], np.int64))
     keep = [i for i, a in enumerate(at) if len(a)]
     if not keep or len(set(y[keep])) < 2:
-        return Model(np.zeros(BUCKETS), float(np.log(base / (1 - base))), base)
-    flat_grams, n_grams = array("i"), np.empty(len(vocabulary), np.int64)
-    for i, w in enumerate(vocabulary):
-        grams = subwords(w)
-        flat_grams.extend(grams)
-        n_grams[i] = len(grams)
+        return Model(np.zeros(BUCKETS), float(np.log(base / (1 - base))), base, window)
+    listed = list(vocabulary)
     del vocabulary
-    gram_of, gram_ends = np.frombuffer(flat_grams, np.int32), np.cumsum(n_grams)
+    parts = []
+    for a in range(0, len(listed), BLOCK // 10):
+        found, begins, counts = subwords(listed[a : a + BLOCK // 10])
+        each = np.stack(found, axis=1)  # n-grams by character, so that a word's stand together
+        parts.append((each[each >= 0].astype(np.int32), counts))
+    gram_of, n_grams = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    gram_ends = np.cumsum(n_grams)
     # Words are worked off in blocks, so that temporaries stay small beside the n-grams themselves.
     cuts = [0, *np.searchsorted(gram_ends, np.arange(BLOCK, gram_ends[-1], BLOCK)).tolist(), len(n_grams)]
     blocks = [(a, b, int(gram_ends[a] - n_grams[a]), int(gram_ends[b - 1])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
     # Windows of all texts, as ranges over the texts' words laid end to end.
     flat = np.concatenate([at[i] for i in keep]).astype(np.int32)
-    firsts = np.concatenate([[0], np.cumsum([len(at[i]) for i in keep])])
-    starts = [windows(len(at[i])) for i in keep]
-    doc_starts = np.concatenate([[0], np.cumsum([len(s) for s in starts])[:-1]])
-    doc_of = np.repeat(np.arange(len(keep)), [len(s) for s in starts])
-    lo = np.concatenate(starts) + firsts[doc_of]
-    hi = np.minimum(lo + WINDOW, firsts[doc_of + 1])
+    lo, hi, doc_starts, doc_of = all_windows(np.array([len(at[i]) for i in keep]), window)
     y = y[keep]
     weight = np.where(y == 1, TOXIC_WEIGHT / (y == 1).sum(), (1 - TOXIC_WEIGHT) / (y == 0).sum())
 
@@ -162,7 +209,7 @@ def train(texts: list[str | None], labels: list[int], base: float | None = None,
             v += 0.001 * (g * g - v)
             parameters[i] = parameters[i] - STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     embeddings, softmax, bias = parameters
-    return Model(embeddings @ softmax, float(bias[0]), base)
+    return Model(embeddings @ softmax, float(bias[0]), base, window)
 
 
 def fold(doc_id: Column, of: int = FOLDS) -> Column:
@@ -198,22 +245,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return texts.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES // 2).select("text", "toxic", "order"), rate
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, window: int | None = WINDOW) -> Model:
+    """Learns from ``training_sample``; repeated, null and empty texts, ids without a text or a label do no harm."""
     sample, rate = training_sample(docs.where(F.col("text").isNotNull()), labels, per_class)
     rows = sorted((r["order"], r["text"], r["toxic"]) for r in sample.collect())
-    return train([r[1] for r in rows], [r[2] for r in rows], rate)
+    return train([r[1] for r in rows], [r[2] for r in rows], rate, window=window)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with each text's probability of being toxic in ``out`` (replaced where there is one).
 
     Nothing but the text is an input. Null, empty and word-free texts have the share
-    of toxic labels as their score. Equal texts score alike.
+    of toxic labels as their score. Equal texts score alike. Texts of any length are
+    read whole. An empty table gives an empty result; other columns pass through.
     """
-    lean_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array([shared.value.score(t.as_py()) for t in texts], pa.float64())
+        return pa.array(shared.value.scores(t.as_py() for t in texts), pa.float64())
 
     return docs.withColumn(out, F.arrow_udf(scored, "double")(F.col(text)))
