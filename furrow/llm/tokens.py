@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import lean_batches
-
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
@@ -33,6 +31,22 @@ REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
 
 
+class _Words(dict):
+    """Token counts of words with a space mark before them, filled as they are asked for."""
+
+    def __init__(self, count):
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, word: str) -> int:
+        n = self.count(MARK + word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
+        return n
+
+
 class PrefixCounter:
     """The token count at every prefix of a text."""
 
@@ -52,23 +66,26 @@ class PrefixCounter:
             raise ValueError("only models without normalisation whose pieces hold space marks at their start alone")
         self.longest = max(map(len, self.score))
         self.cut = FINE if all(FINE.fullmatch(p) for p in self.score) else COARSE
-        self.begun = {p[:i] for p in self.score for i in range(1, len(p) + 1)}
-        self.follows: dict[tuple[str, str], bool] = {}
+        #: All beginnings of pieces, and whether they are pieces themselves.
+        self.begun = dict.fromkeys((p[:i] for p in self.score for i in range(1, len(p))), False) | dict.fromkeys(self.score, True)
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.n_follows = 0
         self.counts: dict[str, int] = {}
+        self.words = _Words(self._count)
 
     def _may_follow(self, before: str, token: str) -> bool:
         """Whether ``before`` and then ``token`` is how the two are encoded together; before is empty at borders that nothing crosses."""
-        key = (before, token)
-        known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) >= REMEMBERED:
-                self.follows.clear()
-            known = self.follows[key] = self.bare.encode(before + token, out_type=str) == ([before, token] if before else [token])
+        if self.n_follows >= REMEMBERED:
+            self.follows.clear()
+            self.n_follows = 0
+        self.n_follows += 1
+        known = self.bare.encode(before + token, out_type=str) == ([before, token] if before else [token])
+        self.follows.setdefault(before, {})[token] = known
         return known
 
     def segment(self, segment: str) -> list[int]:
         """Counts after each character of a segment."""
-        n = len(segment)
+        n, begun = len(segment), self.begun
         counts: list = [0] + [None] * n
         last = [""] * (n + 1)
         for start in range(n):
@@ -76,19 +93,30 @@ class PrefixCounter:
                 # No piece has this character: a token for each of its bytes, which merge with nothing.
                 counts[start + 1] = counts[start] + len(segment[start].encode("utf-8", "surrogatepass"))
                 continue
+            before = last[start]
+            follows = self.follows.get(before, {})
             for end in range(start + 1, n + 1):
                 token = segment[start:end]
-                if token not in self.begun:
+                whole = begun.get(token)
+                if whole is None:
                     break
-                if counts[end] is None and token in self.score and self._may_follow(last[start], token):
-                    counts[end], last[end] = counts[start] + 1, token
+                if whole and counts[end] is None:
+                    known = follows.get(token)
+                    if known or known is None and self._may_follow(before, token):
+                        counts[end], last[end] = counts[start] + 1, token
         return counts[1:]
 
     def count(self, text: str) -> int:
+        """Tokens of the whole text. Where single spaces alone part words, nothing crosses them, so a word's count is known from the last time."""
         if not text:
             return 0
+        if text[0] == " " or MARK in text or "  " in text:
+            return self._count(MARK + text.replace(" ", MARK))
+        return sum(map(self.words.__getitem__, text.split(" ")))
+
+    def _count(self, marked: str) -> int:
         n, known = 0, self.counts
-        for s in self.cut.findall(MARK + text.replace(" ", MARK)):
+        for s in self.cut.findall(marked):
             c = known.get(s)
             if c is None:
                 c = self.segment(s)[-1]
@@ -131,10 +159,11 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit:
     """docs with n_bytes (UTF-8), n_tokens and over_limit; columns of these names are replaced.
 
     A null or empty text has 0 bytes and 0 tokens. Special strings inside texts are
-    ordinary text. Each text is counted whole, by itself: no shuffle.
+    ordinary text. Each text is counted whole, by itself, whatever its length: no
+    shuffle. Repeated rows count alike; an empty table gives an empty result. Other
+    columns pass through.
     """
 
-    lean_batches(docs)
     def counted(texts: pa.Array) -> pa.Array:
         return pa.array([counter(model).count(t.as_py() or "") for t in texts], pa.int64())
 
@@ -147,7 +176,11 @@ def count_tokens(docs: DataFrame, text: str = "text", model: str = MODEL, limit:
 
 
 def truncate_tokens(docs: DataFrame, budget: int, text: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with each text cut to its longest prefix of at most ``budget`` tokens; null stays null."""
+    """docs with each text cut to its longest prefix of at most ``budget`` tokens.
+
+    Null stays null and an empty text empty; an empty table gives an empty result.
+    Other columns pass through, whatever their names.
+    """
 
     def cut(texts: pa.Array) -> pa.Array:
         return pa.array([None if (t := x.as_py()) is None else counter(model).truncated(t, budget) for x in texts], pa.string())
