@@ -15,11 +15,18 @@ from pyspark.sql import types as T
 NULL = "NA"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; only a local master may do without and gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="furrow-")
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A new folder under the session's shared checkpoint folder; a temporary one only where that is unset. Removed at the end."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    folder = f"{base}/scratch-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(path)
@@ -33,7 +40,7 @@ def landed(df: DataFrame) -> DataFrame:
     """df read now and kept in the shared folder, so that its files may go."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="furrow-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -81,6 +88,26 @@ def manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.col("length").alias("size"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
 
 
+def check_manifest(spark: SparkSession, stored: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """(path, status) of a stored manifest (path, size, sha256) against the files: ok, changed, missing, or unlisted."""
+    now = manifest(spark, paths).select("path", F.struct("size", "sha256").alias("now"))
+    met = stored.select("path", F.struct(F.col("size").cast("long").alias("size"), "sha256").alias("then")).join(now, "path", "full")
+    status = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "unlisted").when(F.col("now") == F.col("then"), "ok").otherwise("changed")
+    return met.select("path", status.alias("status"))
+
+
+def read_settings(spark: SparkSession, path: str, defaults: Mapping[str, str], prefix: str = "FURROW_") -> dict[str, str]:
+    """Settings from a file of ``key: value`` lines (``#`` starts a comment) on any file system that Spark reads."""
+    lines = (r[0].split("#", 1)[0] for r in spark.read.text(path).collect())
+    pairs = (line.split(":", 1) for line in lines if ":" in line)
+    return settings(defaults, {k.strip(): v.strip() for k, v in pairs}, prefix)
+
+
+def read_definition(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document as a row of the given schema."""
+    return spark.read.json(path, schema=schema, multiLine=True)
+
+
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
     """The first path that is there, on any file system that Spark reads."""
     jvm = spark.sparkContext._jvm

@@ -172,15 +172,126 @@ def test_mixed_model_finds_the_genotype_means(spark):
     assert [got[g] - got[0] for g in range(4)] == pytest.approx([0, 10, 20, 30], abs=0.2)
 
 
-@pytest.mark.parametrize("method", ["blup", "gp", "gibbs"])
-def test_kernel_predictions_follow_the_signal(spark, method):
+def dense_reml(y, design, zs, rounds=60):
+    """EM-REML with the rows' own matrices."""
+    x = design
+    w = np.hstack([x, *zs])
+    ends = np.cumsum([x.shape[1], *(z.shape[1] for z in zs)])
+    y = y - y.mean()
+    ve = np.var(y) / 2
+    vs = [ve / (len(zs) + 1)] * len(zs)
+    for _ in range(rounds):
+        c = w.T @ w
+        for (a, b), v in zip(zip(ends, ends[1:], strict=False), vs, strict=True):
+            c[range(a, b), range(a, b)] += ve / v
+        inverse = np.linalg.pinv(c)
+        u = inverse @ w.T @ y
+        vs = [(u[a:b] @ u[a:b] + ve * np.trace(inverse[a:b, a:b])) / (b - a) for a, b in zip(ends, ends[1:], strict=False)]
+        new = (y @ y - u @ w.T @ y) / (len(y) - x.shape[1])
+        if abs(new - ve) < 1e-8 * ve:
+            break
+        ve = new
+    return u[: x.shape[1]], vs, new
+
+
+def test_mixed_models_from_counts_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(13)
+    rows = [(e, f"g{g}", f"r{rng.integers(6)}", int(rng.integers(4)), 1000.0 * e + 3 * g + rng.normal(0, 2)) for e in (1, 2) for g in range(5) for _ in range(30)]
+    odd = [(1, None, "r1", 1, 5.0), (1, "g1", None, 1, 5.0), (2, "g1", "r1", None, 5.0), (2, "g1", "r1", 1, None), (2, "g1", "r1", 1, float("nan"))]
+    df = frame(spark, rows + odd, "e int, g string, r string, s int, y double")
+    got = {(r["e"], r["g"]): r["blue"] for r in models.blues(df, "e", "g", ["r", "s"], "y").collect()}
+    parts = {(r["e"], r["grp"]): r["vcov"] for r in models.variance_components(df, "e", ["g", "r", "s"], "y").collect()}
+    for e in (1, 2):
+        mine = [r for r in rows if r[0] == e]
+        y = np.array([r[4] for r in mine])
+        codes = [np.unique([str(r[k]) for r in mine], return_inverse=True)[1] for k in (1, 2, 3)]
+        g, r, s = (np.eye(c.max() + 1)[c] for c in codes)
+        effects, _, _ = dense_reml(y, g, [r, s])
+        assert [got[e, f"g{k}"] for k in range(5)] == pytest.approx(effects + y.mean(), abs=1e-3)
+        _, vs, ve = dense_reml(y, np.ones((len(y), 1)), [g, r, s])
+        assert [parts[e, k] for k in ("g", "r", "s", "residual")] == pytest.approx([*vs, ve], rel=1e-2, abs=1e-3)
+    assert models.blues(df.limit(0), "e", "g", ["r"], "y").count() == 0
+
+
+def signal(spark, n=160):
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(120, 6))
-    y = x[:, 0] * 3 + rng.normal(0, 0.3, 120)
-    rows = [("g", i, x[i].tolist(), None if i % 5 == 0 else float(y[i])) for i in range(120)]
-    got = {r["i"]: r["predicted"] for r in models.predict_groups(frame(spark, rows, "g string, i int, x array<double>, y double"), "g", "i", "x", "y", method).collect()}
-    held = [i for i in range(120) if i % 5 == 0]
-    assert np.corrcoef([got[i] for i in held], y[held])[0, 1] > 0.8
+    x = rng.normal(size=(n, 6))
+    y = x[:, 0] * 3 + rng.normal(0, 0.3, n)
+    rows = [("g", i, x[i].tolist(), None if i % 5 == 0 else float(y[i])) for i in range(n)] + [("none", 1000 + i, x[i].tolist(), None) for i in range(3)]
+    return x, y, frame(spark, rows, "g string, i int, x array<double>, y double")
+
+
+def test_kriging_in_feature_space_is_kriging(spark):
+    x, y, df = signal(spark)
+    got = {r["i"]: r["predicted"] for r in models.blup_predictions(df, "g", "i", "x", "y").collect()}
+    z = (x - x.mean(0)) / x.std(0) / np.sqrt(6)
+    seen = np.arange(len(y)) % 5 != 0
+    k, one = z @ z.T, np.ones(seen.sum())
+
+    def dense(ratio):
+        v = k[np.ix_(seen, seen)] + ratio * np.eye(seen.sum())
+        inverse = np.linalg.inv(v)
+        mean = one @ inverse @ y[seen] / (one @ inverse @ one)
+        e = y[seen] - mean
+        q = e @ inverse @ e
+        top = -0.5 * ((seen.sum() - 1) * np.log(q) + np.linalg.slogdet(v)[1] + np.log(one @ inverse @ one))
+        return top, mean + k[:, seen] @ inverse @ e
+
+    best = max((dense(np.exp(g)) for g in np.linspace(-12, 16, 281)), key=lambda r: r[0])[1]
+    assert [got[i] for i in range(len(y))] == pytest.approx(best, abs=0.02)
+    assert set(got) == set(range(len(y)))
+
+
+def test_gaussian_processes_choose_their_kernel(spark):
+    x, y, df = signal(spark)
+    got = {r["i"]: r for r in models.gp_predictions(df.where("g = 'g'"), "g", "i", "x", "y").collect()}
+    held = [i for i in range(len(y)) if i % 5 == 0]
+    assert {r["kernel"] for r in got.values()} == {"dot"} and np.corrcoef([got[i]["predicted"] for i in held], y[held])[0, 1] > 0.97
+    k = models.rbf_features(x / np.sqrt(6), 1.0)
+    d = ((x[:, None] - x[None]) ** 2).sum(2) / 6
+    assert np.abs(k @ k.T - np.exp(-d / 2)).mean() < 0.06
+
+
+def test_gibbs_over_several_kernels(spark):
+    x, y, df = signal(spark)
+    kernels = {"a": F.slice("x", 1, 3), "b": F.slice("x", 4, 3)}
+    got = models.gibbs_predictions(df.where("g = 'g'"), "g", "i", kernels, {"A": ["a"], "B": ["b"], "AB": ["a", "b"]}, "y", n_iter=400, burn=100).collect()
+    held = [i for i in range(len(y)) if i % 5 == 0]
+    r = {m: np.corrcoef([p["predicted"] for p in sorted(got, key=lambda p: p["i"]) if p["model"] == m and p["i"] in held], y[held])[0, 1] for m in ("A", "B", "AB")}
+    assert r["A"] > 0.95 and r["AB"] > 0.95 and r["B"] < 0.6
+
+
+def test_genome_scan_is_that_of_a_dense_solve(spark):
+    rng = np.random.default_rng(8)
+    n, chromosomes = 90, ["a"] * 5 + ["b"] * 7
+    d = rng.integers(0, 3, (n, 12)).astype(float)
+    y = d[:, 2] * 0.8 + d[:, 8] * 0.5 + rng.normal(0, 1, n)
+    rows = [(i, [int(v) for v in d[i]], float(y[i])) for i in range(n)] + [(n, None, 1.0), (n + 1, [1] * 12, None)]
+    df = frame(spark, rows, "id int, d array<int>, y double")
+    scan, lods = models.genome_scan(df, "d", ["y"], chromosomes)
+    got = {r["locus"]: r["lod"] for r in lods.collect()}
+    _, _, ratios = scan.trait(0)
+    one = np.ones((n, 1))
+    for m, c in enumerate(chromosomes):
+        z = d[:, [j for j, o in enumerate(chromosomes) if o != c]]
+        z = z - z.mean(0)
+        inverse = np.linalg.inv(z @ z.T + ratios[c] * np.eye(n))
+
+        def rss(x):
+            e = y - x @ np.linalg.solve(x.T @ inverse @ x, x.T @ inverse @ y)
+            return e @ inverse @ e
+
+        assert got[m] == pytest.approx(n / 2 * np.log10(rss(one) / rss(np.hstack([one, d[:, [m]]]))), rel=1e-6)
+    assert max(got, key=got.get) == 2
+    perms = models.permutation_lods(df.where("id < 90"), "id", "d", ["y"], chromosomes, times=60, seed=5).collect()
+    assert len(perms) == 60 and np.quantile([r["lod"] for r in perms], 0.95) < got[2]
+    dealt = {(r["perm"], r["id"]): r["y"] for r in models.permuted(df.where("id < 90").select("id", F.lit("y").alias("trait"), "y"), "id", 2, 5).collect()}
+    assert sorted(dealt[1, i] for i in range(n)) == pytest.approx(sorted(y))
+    zy, yy = (d - d.mean(0)).T @ [dealt[1, i] for i in range(n)], float(((y - y.mean()) ** 2).sum())
+    perms5 = {r["perm"]: r["lod"] for r in perms}
+    assert perms5[1] == pytest.approx(scan.lods(zy[None, :], yy, ratios).max(), rel=1e-6)
+    blups = dict(models.blups_at(df.where("id < 90"), "d", "y", 0, 2, scan))
+    assert blups[0] < blups[1] < blups[2]
 
 
 def test_principal_curves(spark):
