@@ -23,11 +23,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.mixing import hinted
-from furrow.llm.shared import free_name, lean_batches, settle
+from furrow.llm.shared import free_name, settle
 from furrow.llm.words import FOLD, utf8
 
 MIN_WORDS = 20
@@ -66,14 +66,9 @@ _NOT_LEADING = bytes(range(0xC0))
 _INDEX = {w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON))}
 N_CLASSES, N_COMMON, N_RARE = len(CLASSES) + 2, len(_INDEX) + 1, 3
 
-MEASURES = (
-    "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, "
-    "classes: array<long>, common: array<long>, rare: array<long>>"
-)
-_ARROW = pa.struct(
-    [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    + [(n, pa.list_(pa.int64())) for n in ("classes", "common", "rare")]
-)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+HISTOGRAMS = ("classes", "common", "rare")
+MEASURES = "struct<" + ", ".join([f"{c}: long" for c in COUNTS] + ["n_chars: long"] + [f"{h}: double" for h in HISTOGRAMS] + ["rare_share: double", "ref_share: double"]) + ">"
 
 
 def histograms(text: str | None) -> tuple[list[int], list[int]]:
@@ -125,13 +120,35 @@ def measure(text: str | None) -> dict:
     }
 
 
-def measures(texts: pa.Array) -> pa.Array:
-    names, found = [f.name for f in _ARROW], [[] for _ in _ARROW]
-    for t in texts:
-        m = measure(t.as_py())
-        for column, name in zip(found, names, strict=True):
-            column.append(np.array(m[name], np.int64) if isinstance(m[name], list) else m[name])
-    return pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(found, _ARROW, strict=True)], names)
+def js_distances(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance of each row's counts and reference; not a number if either is all zeros."""
+
+    def term(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(a > 0, a * np.log2(2 * np.where(a > 0, a, 1) / np.where(a + b > 0, a + b, 1)), 0 * a)
+
+    with np.errstate(invalid="ignore", divide="ignore"):
+        p, q = (x / x.sum(1, keepdims=True) for x in (counts, reference))
+        return np.sqrt(np.maximum((term(p, q) + term(q, p)).sum(1) / 2, 0)) + 0 * (p + q).sum(1)
+
+
+def rare_shares(counts: np.ndarray) -> np.ndarray:
+    """Share of each row's rare classes, all but the last; not a number for an empty row."""
+    with np.errstate(invalid="ignore"):
+        return counts[:, :-1].sum(1) / counts.sum(1)
+
+
+def measures(texts: pa.Array, *references: pa.Array) -> pa.Array:
+    """Base measures of texts, and distances of their histograms from the references of their languages."""
+    found = [measure(t.as_py()) for t in texts]
+    columns = [pa.array([m[c] for m in found], pa.int64()) for c in COUNTS] + [pa.array([sum(m["classes"]) for m in found], pa.int64())]
+    if not found:
+        return pa.StructArray.from_arrays([*columns, *[pa.array([], pa.float64())] * 5], [*COUNTS, "n_chars", *HISTOGRAMS, "rare_share", "ref_share"])
+    counts = [np.array([m[h] for m in found], float) for h in HISTOGRAMS]
+    refs = [r.flatten().to_numpy().reshape(len(found), -1).astype(float) for r in references]
+    floats = [*map(js_distances, counts, refs), rare_shares(counts[-1]), rare_shares(refs[-1])]
+    return pa.StructArray.from_arrays(
+        [*columns, *(pa.array(x, pa.float64(), from_pandas=True) for x in floats)], [*COUNTS, "n_chars", *HISTOGRAMS, "rare_share", "ref_share"]
+    )
 
 
 def all_histograms(texts: pa.Array) -> pa.Array:
@@ -157,57 +174,31 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     )
 
 
-def js_distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays of one length; null if either is all zeros."""
-
-    def shares(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-        return F.transform(c, lambda x: F.try_divide(x.cast("double"), total.cast("double")))
-
-    def term(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.when(a.isNotNull() & b.isNotNull(), 0.0))
-
-    parts = F.zip_with(shares(counts), shares(reference), lambda p, q: term(p, q) + term(q, p))
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
-
-
-def rare_share(counts: Column) -> Column:
-    """Share of a histogram's rare classes, all but the last; null of an empty one."""
-    rare = F.aggregate(F.slice(counts, 1, N_RARE - 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.try_divide(rare.cast("double"), (rare + F.get(counts, F.lit(N_RARE - 1))).cast("double"))
-
-
 def assess(docs: DataFrame, text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
     """docs with a struct column ``out``: the base measures, base_failed, the three distances, kept, clean.
 
     A null or empty text has no words, fails the base rules and isn't kept. A null
     language is compared with all texts of null language. Where a distance is
     undefined (no words, a reference without any) it doesn't count against a
-    text. Repeated rows are judged alike. Other columns pass through; a column
-    called ``out`` is replaced.
+    text. Texts of any length are measured whole. Repeated rows are judged alike; an
+    empty table gives an empty result. Other columns pass through; a column called
+    ``out`` is replaced.
     """
-    lean_batches(docs)
     m, r = free_name(docs, "measured"), free_name(docs, "reference")
     refs = settle(references(docs, text, lang)).select(F.struct("*").alias(r))
-    df = docs.withColumn(m, F.arrow_udf(measures, MEASURES)(F.col(text))).join(
-        hinted(refs), F.col(lang).eqNullSafe(F.col(f"{r}.ref_lang")), "left"
-    )
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    met = docs.join(hinted(refs), F.col(lang).eqNullSafe(F.col(f"{r}.ref_lang")), "left")
+    df = met.withColumn(m, F.arrow_udf(measures, MEASURES)(F.col(text), *(F.col(f"{r}.ref_{h}") for h in HISTOGRAMS)))
     n_words = F.col(f"{m}.n_words")
     failed = (n_words < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > REPEAT_PERCENT * n_words)
-    chars = js_distance(F.col(f"{m}.classes"), F.col(f"{r}.ref_classes"))
-    words = js_distance(F.col(f"{m}.common"), F.col(f"{r}.ref_common"))
-    enough_chars = F.aggregate(f"{m}.classes", F.lit(0).cast("long"), lambda a, x: a + x) >= GUARD_CHARS
-    rare, ref_rare = F.col(f"{m}.rare"), F.col(f"{r}.ref_rare")
-    rares = js_distance(rare, ref_rare)
-    full = (rare_share(rare) > GUARD_RARE) & (rare_share(rare) > rare_share(ref_rare)) & (rares > MOST_RARE)
-    odd = F.coalesce(enough_chars & (chars > MOST_CHARS), F.lit(False)) | F.coalesce(
+    chars, words, rares, share, ref_share = (F.col(f"{m}.{c}") for c in (*HISTOGRAMS, "rare_share", "ref_share"))
+    full = (share > GUARD_RARE) & (share > ref_share) & (rares > MOST_RARE)
+    odd = F.coalesce((F.col(f"{m}.n_chars") >= GUARD_CHARS) & (chars > MOST_CHARS), F.lit(False)) | F.coalesce(
         (n_words >= GUARD_WORDS) & (words > MOST_WORDS), F.lit(False)
     )
     return df.withColumn(
         out,
         F.struct(
-            *(F.col(f"{m}.{c}").alias(c) for c in base),
+            *(F.col(f"{m}.{c}").alias(c) for c in COUNTS),
             failed.alias("base_failed"),
             chars.alias("char_distance"),
             words.alias("word_distance"),
