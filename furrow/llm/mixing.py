@@ -17,10 +17,12 @@ source closest to its target.
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import free_name, settle
+from furrow.llm.shared import BROADCAST_BYTES, free_name, settle
 
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often.
@@ -33,34 +35,44 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST, total: Column | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
+    """df with, under each name, the sum of the column over the rows before each row in order.
+
+    Rows are dealt by ranges of the order; each range sums its own and starts from
+    what the ranges before it hold. So no task has all rows: only the ranges' totals,
+    one row each, meet in one place.
+    """
+    part = free_name(df, "part")
+    dealt = settle(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(part).agg(*(F.sum(c).alias(name) for name, c in sums.items()))
+    held = totals.select(part, *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{part}_{name}") for name in sums))
+    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = {name: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"{part}_{name}") for name, c in sums.items()}
+    return dealt.join(F.broadcast(held), part).withColumns(added).drop(part, *(f"{part}_{name}" for name in sums))
+
+
+def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """From (source, source_size): weight and target of each source, null last.
 
     Water-filling in closed form: targets are ``weight * level`` but at most
     ``most`` times the source's size. With the sources in the order in which they
     reach their cap, the level is what is left after the first k caps over the
-    weight that is left, at the first k where the next source stays under its
-    cap. One row for each source, so the windows over all of them are small.
+    weight that is left, at the first k where the next source stays under its cap.
     """
-    every = Window.partitionBy(F.lit(0))
-    named = every.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(named) - 1, len(weights)) + 1).cast("int"))
-    caps = sizes.withColumns({"weight": weight.cast("double"), "cap": most * F.col("source_size").cast("double")})
-    to_cap = every.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    left = caps.withColumns(
-        {
-            "total": (F.sum("source_size").over(every) if total is None else total).cast("double"),
-            "capped": F.coalesce(F.sum("cap").over(to_cap), F.lit(0.0)),
-            "weight_left": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(to_cap), F.lit(0.0)),
-        }
-    )
-    level = (F.col("total") - F.col("capped")) / F.col("weight_left")
-    fits = level * F.col("weight") <= F.col("cap")
-    found = left.withColumn("level", F.min(F.when(fits, F.struct(F.col("cap") / F.col("weight"), level.alias("level")))).over(every)["level"])
-    return found.select(
-        "source", "source_size", "weight",
-        F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap")).alias("target"),
+    by_name = F.col("source").asc_nulls_last()
+    named = prefix_sums(sizes, [by_name], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")).cast("double")
+    caps = named.withColumns({"weight": weight, "cap": most * F.col("source_size").cast("double")}).withColumn("full", F.col("cap") / F.col("weight"))
+    left = settle(prefix_sums(caps.drop("place"), [F.col("full").asc(), by_name], {"capped": F.col("cap"), "weighed": F.col("weight")}))
+    all_of = left.agg(F.sum("source_size").cast("double").alias("all_sizes"), F.sum("weight").alias("all_weights"))
+    level = (F.col("all_sizes") - F.col("capped")) / (F.col("all_weights") - F.col("weighed"))
+    first = (
+        left.join(F.broadcast(all_of), F.lit(True)).where(level * F.col("weight") <= F.col("cap"))
+        .agg(F.min(F.struct("full", level.alias("level")))["level"].alias("level"))
     )
+    target = F.coalesce(F.least("cap", F.col("weight") * F.col("level")), F.col("cap"))
+    return left.join(F.broadcast(first), F.lit(True)).select("source", "source_size", "weight", target.alias("target"))
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -97,9 +109,10 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return budgets.join(ends, F.col("of_source").eqNullSafe(F.col("bound_of")), "left").select("of_source", "copies", "bound")
 
 
-def hinted(per_source: DataFrame, most: int = 50_000) -> DataFrame:
-    """Broadcast if the sources are counted to be few; else left to a shuffle join, whose skew Spark splits."""
-    return F.broadcast(per_source) if per_source.limit(most + 1).count() <= most else per_source
+def hinted(per_source: DataFrame) -> DataFrame:
+    """Broadcast if its rows, measured as JSON, are few bytes; else left to a shuffle join, whose skew Spark splits."""
+    size = per_source.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(per_source) if size <= BROADCAST_BYTES else per_source
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -108,7 +121,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, text: str = "text",
     A null text has size 0. A null source is a source of its own, last in order. A
     source whose texts are all empty has target 0. A document of size 0 takes
     nothing whatever its copies, which follow its hash. Null ids share one hash.
-    Repeated rows stand or fall together. An empty table gives an empty mix.
+    Repeated rows stand or fall together. Texts of any length count whole. An empty
+    table gives an empty mix.
     Columns of docs called like the added ones are replaced.
     """
     hashed = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
