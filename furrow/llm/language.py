@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import lean_batches
+from furrow.llm.shared import free_name
 from furrow.llm.toxicity import fold
 
 #: Bound of the training sample, over all languages.
@@ -53,20 +53,22 @@ def features(text: str | None) -> np.ndarray | None:
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """n rows of -1 and 1. Up to five languages get the exhaustive code, more get random words kept far apart."""
+    """n rows of -1 and 1. Up to five languages get the exhaustive code, more get random words that differ in a fifth of their bits at least."""
     if n <= 5:
         bits = max(1, 2 ** (n - 1) - 1)
         columns = [[1 if i == 0 else 1 if b >> (i - 1) & 1 else -1 for i in range(n)] for b in range(bits)]
         return -np.array([[c[i] for c in columns] for i in range(n)])
-    rng, best, apart = np.random.default_rng(seed), None, -1
-    for _ in range(50):
-        words = rng.choice([-1, 1], (n, 10 * int(np.ceil(np.log2(n)))))
-        agree = words @ words.T
-        np.fill_diagonal(agree, -words.shape[1])
-        least = words.shape[1] - agree.max()
-        if least > apart and (np.abs(words.sum(0)) < n).all():
-            best, apart = words, least
-    return words if best is None else best
+    rng, bits, best, apart = np.random.default_rng(seed), 10 * int(np.ceil(np.log2(n))), None, -1
+    while apart < 0.2 * bits:
+        for _ in range(20):
+            words = rng.choice([-1, 1], (n, bits))
+            words = words[:, np.abs(words.sum(0)) < n]  # a bit that is alike for all tells nothing
+            alike = words @ words.T
+            np.fill_diagonal(alike, -bits)
+            if (words.shape[1] - alike.max()) / 2 > apart:
+                best, apart = words, (words.shape[1] - alike.max()) / 2
+        bits = bits if apart >= 0.2 * bits else bits + bits // 2
+    return best
 
 
 class Model:
@@ -109,11 +111,15 @@ def train(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from text and lang of documents outside the held-out fold; rows without lang, or without a letter, teach nothing."""
+    """Learns from text and lang of documents outside the held-out fold; rows without lang, or without a letter, teach nothing.
+
+    At most ``sample`` texts in all, but one of each language at least. Repeated
+    rows and null ids are as likely to be drawn as others.
+    """
     rows = docs.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(-1)) != HELD_OUT)
-    ).select("lang", "text", F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "lang")).alias("order"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()}
+    ).select("lang", "text", F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), "lang")).alias("order"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return train([])
     each = max(1, sample // len(counts))
@@ -136,9 +142,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1) and ambiguous; columns of these names are replaced.
 
     Null, empty and letter-free texts are ``und`` with score 0, and so are all
-    texts if there was nothing to learn from. Equal texts get equal answers.
+    texts if there was nothing to learn from. Of languages that tie, the first by
+    name is answered and the text is ambiguous. Equal texts get equal answers; texts
+    of any length are read whole. An empty table gives an empty result.
     """
-    lean_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(texts: pa.Array) -> pa.Array:
@@ -150,6 +157,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     kind = "struct<lang_pred: string, score: double, ambiguous: boolean>"
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "ambiguous")]
-    found = "_" + max(docs.columns, key=len)
+    found = free_name(docs, "predicted")
     answered = docs.withColumn(found, F.arrow_udf(predicted, kind)(F.col(text)))
     return answered.select(*(F.col(f"`{c}`") for c in names), f"`{found}`.*")
