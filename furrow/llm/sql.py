@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from furrow.llm.url_filter import SUFFIXES
+
 SQL: dict[str, str] = {}
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,26 +82,29 @@ SQL["op9_urls"] = r"""
 WITH p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM p),
+labels_of AS (SELECT *, string_split(name, '.') AS l, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS two FROM named),
 parts AS (
-  SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain FROM p),
+  SELECT page_id, host, path, name, CASE WHEN two IN (@SUFFIXES) THEN two ELSE l[-1] END AS suffix,
+         CASE WHEN two IN (@SUFFIXES) THEN array_to_string(list_slice(l, -3, -1), '.') ELSE two END AS domain FROM labels_of),
 o AS (SELECT parts.*, CASE WHEN quality = 0 THEN 1.0 ELSE 0.0 END AS bad FROM parts JOIN labels ON doc_id = page_id WHERE quality IS NOT NULL AND quality >= 0),
 levels AS (
   SELECT 'suffix' AS level, suffix AS name, CAST(count(*) AS DOUBLE) AS n, sum(bad) AS bad FROM o GROUP BY suffix UNION ALL
   SELECT 'domain', domain, count(*), sum(bad) FROM o GROUP BY domain UNION ALL
-  SELECT 'host', host, count(*), sum(bad) FROM o GROUP BY host),
+  SELECT 'host', name, count(*), sum(bad) FROM o GROUP BY name),
 sums AS (SELECT level, sum(n) AS n, sum(bad) / sum(n) AS m, count(*) AS k, sum(n * n) AS sq, sum(bad * bad / n) AS br FROM levels GROUP BY level),
 rhos AS (SELECT level, CASE WHEN k > 1 AND m * (1 - m) > 0 AND n - sq / n - (k - 1) > 0
          THEN ((br - n * m * m) - (k - 1) * m * (1 - m)) / (m * (1 - m) * (n - sq / n - (k - 1))) ELSE 0.1 END AS r FROM sums),
 s AS (SELECT level, (1 - least(greatest(r, 0.001), 0.5)) / least(greatest(r, 0.001), 0.5) AS s FROM rhos
       UNION ALL SELECT l, 9.0 FROM (VALUES ('suffix'), ('domain'), ('host')) v(l) WHERE (SELECT count(*) FROM o) = 0),
 g AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (count(*) + 2.0) AS g FROM o),
-hosts AS (SELECT DISTINCT host, suffix, domain FROM parts),
-m1 AS (SELECT h.*, (coalesce(l.bad, 0) + s.s * g.g) / (coalesce(l.n, 0) + s.s) AS ms FROM hosts h CROSS JOIN g JOIN s ON s.level = 'suffix'
+hosts AS (SELECT DISTINCT host, name, suffix, domain FROM parts),
+m1 AS (SELECT h.host, h.name, h.suffix, h.domain, (coalesce(l.bad, 0) + s.s * g.g) / (coalesce(l.n, 0) + s.s) AS ms FROM hosts h CROSS JOIN g JOIN s ON s.level = 'suffix'
        LEFT JOIN levels l ON l.level = 'suffix' AND l.name = h.suffix),
 m2 AS (SELECT m1.*, (coalesce(l.bad, 0) + s.s * ms) / (coalesce(l.n, 0) + s.s) AS md FROM m1 JOIN s ON s.level = 'domain'
        LEFT JOIN levels l ON l.level = 'domain' AND l.name = m1.domain),
 m3 AS (SELECT m2.*, (coalesce(l.bad, 0) + s.s * md) / (coalesce(l.n, 0) + s.s) AS mh, coalesce(l.n, 0) + s.s AS w FROM m2 JOIN s ON s.level = 'host'
-       LEFT JOIN levels l ON l.level = 'host' AND l.name = m2.host),
+       LEFT JOIN levels l ON l.level = 'host' AND l.name = m2.name),
 v AS (SELECT host, CASE WHEN mh - 1.645 * sqrt(mh * (1 - mh) / (w + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM m3),
 ruled AS (
   SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
@@ -112,6 +117,9 @@ FROM ruled r LEFT JOIN v USING (host)
 """
 
 
+SQL["op9_urls"] = SQL["op9_urls"].replace("@SUFFIXES", ", ".join(f"'{s}'" for s in SUFFIXES))
+
+
 def _quality_sql() -> str:
     from furrow.llm.quality import COMMON, GUARD_CHARS, GUARD_WORDS, MIN_WORDS, MOST_CHARS, MOST_WORDS, REPEAT_PERCENT, REPEAT_WINDOW
 

@@ -137,8 +137,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
     """pages with host, path, rule and verdict; outcomes has (url, bad: 1 bad, 0 good, null unlabelled).
 
     A null url, and one without ``://``, has an empty host and path, which no rule
-    fits; pages of empty host share one reputation. Repeated pages are judged
-    alike. Without outcomes, all that no rule blocks is allowed. Columns called
+    fits; pages of empty host share one reputation. Urls of any length are read
+    whole. Repeated pages are judged alike; no pages give an empty result. Without outcomes, all that no rule blocks is allowed. Columns called
     like the added ones are replaced.
     """
     labelled = outcomes.select(host(F.col("url")).alias("host"), F.col("bad").cast("int").alias("bad"))
