@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import lean_batches
 
 #: HTML's block-level elements, void elements, and elements without main text.
 BLOCKS = set(
@@ -272,10 +271,10 @@ def extracted(htmls: pa.Array) -> pa.Array:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """pages with the main text of each page in the column ``text`` (replaced where there is one) and its n_chars.
 
-    Each page is worked off by itself, whole, so no shuffle. Null and empty pages
-    give an empty text of 0 characters. Repeated pages give equal texts.
+    Each page is worked off by itself, whole and whatever its length or nesting, so no
+    shuffle. Null and empty pages give an empty text of 0 characters. Repeated pages
+    give equal texts; an empty table gives an empty result. Other columns pass through.
     """
-    lean_batches(pages)
     return pages.withColumn(text, F.arrow_udf(extracted, "string")(F.col(html))).withColumn(
         "n_chars", F.char_length(text).cast("long")
     )

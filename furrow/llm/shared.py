@@ -41,12 +41,3 @@ def free_name(df: DataFrame, wanted: str) -> str:
         wanted = f"_{wanted}"
     return wanted
 
-
-def lean_batches(df: DataFrame, rows: int = 2000) -> None:
-    """Lets Python workers get at most so many texts at a time, unless the session has a lower limit.
-
-    Spark's own bound of 64 MB for a batch stays in force for long texts.
-    """
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
