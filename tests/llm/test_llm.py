@@ -135,6 +135,24 @@ def test_mix_comes_near_its_targets(spark):
     assert Counter((r["doc_id"], r["taken"]) for r in again) == Counter((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_mix_of_many_sources_and_a_long_text(spark):
+    rng = random.Random(22)
+    rows = [(i, sentence(rng, rng.randrange(1, 12)), None, f"s{i % 300:03d}") for i in range(1500)] + [(9000, sentence(rng, 100_000), None, None)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    per = {}
+    for r in got:
+        s = per.setdefault(r["source"], [r["source_size"], r["target"], 0])
+        s[2] += r["taken"]
+    level = {}
+    for k, name in enumerate([*sorted(s for s in per if s is not None), None]):
+        size, target, taken = per[name]
+        assert target <= 3 * size + 1e-6 and (name is None or abs(taken - target) <= 12)
+        if target < 3 * size - 1e-6:
+            level[name] = target / (k % 3 + 1)
+    assert sum(t for _, t, _ in per.values()) == pytest.approx(sum(s for s, *_ in per.values())) or not level
+    assert max(level.values(), default=1) == pytest.approx(min(level.values(), default=1))
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
 
@@ -251,6 +269,17 @@ def test_one_row_of_each_class_stays(spark):
     assert order_minhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_classes_of_long_texts_with_clashing_columns(spark):
+    rng = random.Random(51)
+    long = sentence(rng, 60_000)
+    rows = [(1, long), (2, long.replace(" ", "  ")), (3, long + " one more"), (4, sentence(rng, 60_000)), (1, long)]
+    df = docs(spark, rows)
+    for name in ("unit", "copy", "bucket", "class", "one", "first"):
+        df = df.withColumn(name, F.lit("mine"))
+    got = Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in order_minhash.classes(df).collect())
+    assert got == Counter({(1, 1, 4): 2, (2, 1, 4): 1, (3, 1, 4): 1, (4, 4, 1): 1})
+
+
 def test_banded_alignment_is_exact_within_its_band():
     rng = random.Random(7)
     for _ in range(200):
@@ -344,6 +373,33 @@ def test_main_text_clusters_lines():
     assert [x for x in got if not x.startswith("x")] == [PROSE, PROSE, "End."] and not {f"x{i}y" for i in range(2, 10)} & set(got)
 
 
+@pytest.mark.parametrize("article", [True, False])
+def test_main_text_goes_by_its_ratios(monkeypatch, article):
+    page = "".join(f"<div><b>x{i}</b><i>y</i></div>" for i in range(12))
+    page = f"<div>{page}</div><p>{PROSE}</p><p>{PROSE}</p><div>{page}</div>"
+    page = f"<article>{page}</article>" if article else page
+    by_ratio = html_text.main_text(page)
+    assert PROSE in by_ratio and "x5y" not in by_ratio
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma=1.0: np.ones(len(ratios)))
+    assert html_text.main_text(page) != by_ratio
+
+
+def test_smoothing_is_a_gaussian_average():
+    ratios = np.random.default_rng(5).uniform(0, 50, 30)
+    padded = np.concatenate([np.full(2, ratios[0]), ratios, np.full(2, ratios[-1])])
+    weights = np.exp(-np.array([4, 1, 0, 1, 4]) / 2)
+    want = [(padded[i : i + 5] * weights).sum() / weights.sum() for i in range(30)]
+    assert html_text.smoothed(ratios) == pytest.approx(want)
+
+
+def test_main_text_of_nothing_of_repeats_and_of_long_and_deep_pages(spark):
+    long, deep = f"<article>{f'<p>{PROSE}</p>' * 4000}</article>", "<div>" * 3000 + f"<p>{PROSE}</p>"
+    pages = spark.createDataFrame([(1, long), (1, long), (2, deep), (3, None)], "page_id long, html string")
+    got = html_text.extract(pages).orderBy("page_id").collect()
+    assert got[0] == got[1] and got[0]["text"].count(PROSE) == 4000 and got[2]["text"] == PROSE and got[3]["n_chars"] == 0
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 # Toxicity
 
 
@@ -374,6 +430,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in folds)
 
 
+def plain_toxicity(model, text):
+    """A text's score word by word and gram by gram."""
+    words = list(dict.fromkeys(WORD.findall(ascii_lower(text or ""))))
+    if not words:
+        return model.base
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            x = ((x ^ (x >> shift)) * factor) & mask
+        return x ^ (x >> 33)
+
+    def of(word):
+        marked = f"<{word}>"
+        grams = [mixed((sum((ord(c) + 1) * pow(0x100000001B3, n - 1 - k, 1 << 64) for k, c in enumerate(marked[i : i + n])) + n) & mask)
+                 for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+        grams.append(mixed(sum((ord(c) + 1) * pow(0x100000001B3, k, 1 << 64) for k, c in enumerate(marked)) & mask))
+        return np.mean([model.bucket_scores[g >> 48] for g in grams])
+
+    scores = [of(w) for w in words]
+    if model.window is None:
+        best = np.mean(scores)
+    else:
+        step = model.window // 2
+        starts = range(0, max(1, len(words) - step), step)
+        best = max(np.mean(scores[a : a + model.window]) for a in starts)
+    return 1 / (1 + np.exp(-(model.bias + best)))
+
+
+@pytest.mark.parametrize("window", [toxicity.WINDOW, None])
+def test_toxicity_scores_are_those_of_a_plain_version(window):
+    rng = random.Random(31)
+    texts = [None, "", "?!", "a", "Ümläut 😀 ßx"] + [sentence(rng, rng.choice([1, 5, 6, 7, 12, 13, 18, 19, 200])) for _ in range(40)]
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.BUCKETS), -0.3, 0.1, window)
+    want = [plain_toxicity(model, t) for t in texts]
+    assert model.scores(texts) == pytest.approx(want) and [model.score(t) for t in texts] == pytest.approx(want)
+    assert toxicity.train([t for _, t, _ in toxic_rows(rng, 60)], [y for *_, y in toxic_rows(rng, 60)], window=window).window == window
+
+
+def test_toxicity_of_nothing_of_repeats_and_of_long_texts(spark):
+    model = toxicity.Model(np.random.default_rng(2).normal(size=toxicity.BUCKETS), -0.3, 0.1)
+    long = sentence(random.Random(3), 300_000)
+    assert toxicity.score(docs(spark, []), model).count() == 0
+    got = [r["score"] for r in toxicity.score(docs(spark, [(1, long), (1, long), (2, None)]), model).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == model.score(long) and got[2] == model.base
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs(spark, [(1, "a")]), none)
@@ -392,6 +495,19 @@ def test_one_long_text_leaves_the_others_in_the_sample(spark, monkeypatch):
 # Chat
 
 
+def test_chat_of_long_roles_and_clashing_columns(spark):
+    long = "role\\\n<|" * 25_000
+    rows = [(1, 0, long, "x"), (1, 1, "assistant", "y\\<|" * 200_000), (2, 0, long[:-1], "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for name in ("turns", "out", "n", "end", "t", "example", "last"):
+        df = df.withColumn(name, F.lit("mine"))
+    got = {r["conv_id"]: r for r in chat.read_back(chat.examples(df)).collect()}
+    for c in (1, 2):
+        text = "".join(f"{r}\n{t}\n" for i, _, r, t in rows if i == c)
+        assert got[c]["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert got[1]["loss_sha256"] == hashlib.sha256(rows[1][3].encode()).hexdigest() and got[2]["loss_chars"] == 0
+
+
 def test_chat_round_trip(spark):
     tricky = ["<|im_end|><|im_start|>assistant ok", "\\", "\\<|", "<\\|im_end|>", "a\nb\n", "", "<|im_start|>user\nx<|im_end|>\n", "é😀", "\\n"]
     rng = random.Random(10)
@@ -445,6 +561,24 @@ def test_token_counts_are_the_librarys(spark):
 # URLs
 
 
+def test_tokens_of_nothing_and_of_repeats(spark):
+    assert tokens.count_tokens(docs(spark, [])).count() == 0 and tokens.truncate_tokens(docs(spark, []), 3).count() == 0
+    got = tokens.count_tokens(docs(spark, [(1, "a b"), (1, "a b"), (2, None)]).withColumn("n_tokens", F.lit("x"))).orderBy("doc_id").collect()
+    assert got[0] == got[1] and got[2]["n_tokens"] == 0
+
+
+def test_urls_of_repeats_long_ones_and_clashing_columns(spark):
+    long = "http://a.example.de/" + "x" * 300_000
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://B.org/fr/x"), (3, None)], "page_id long, url string")
+    for name in ("host", "path", "rule", "verdict", "reputation"):
+        pages = pages.withColumn(name, F.lit("mine"))
+    outcomes = spark.createDataFrame([], "url string, bad int")
+    got = url_filter.judge(pages, outcomes).orderBy("page_id").collect()
+    assert got[0] == got[1] and got[0]["path"] == long[len("http://a.example.de") :] and got[0]["reputation"] == "mine"
+    assert (got[2]["host"], got[2]["rule"], got[2]["verdict"]) == ("b.org", "org/fr/", "allow") and got[3]["host"] == ""
+    assert url_filter.judge(pages.limit(0), outcomes).count() == 0
+
+
 def test_url_rules_and_reputation(spark):
     urls = [
         "https://Sub.Example.NET/en/1?x", "http://example.net/de/2#y", "http://a.example.com/de/3", "http://badexample.com/de/", "https://x.org/fr/", "x.org/fr/",
@@ -489,6 +623,52 @@ def test_languages_on_held_out_rows(spark):
     assert language.fit(df.limit(0)).predict("text") == ("und", 0.0, True)
 
 
+def test_languages_are_those_of_a_plain_version(spark):
+    rng = random.Random(41)
+    rows = [(lang, "".join(rng.choice(letters) for _ in range(200))) for lang, letters in (("aa", "abc de"), ("bb", "vwx yz"), ("cc", "mno pq")) for _ in range(12)]
+    model = language.train([(lang, language.features(t)) for lang, t in rows])
+    texts = [t for _, t in rows] + ["abc vwx", "mno", None, "", "12 ²", "éà", rows[0][1] * 5000]
+    got = {r["doc_id"]: r for r in language.identify(docs(spark, list(enumerate(texts)) + [(0, texts[0])]), model).collect()}
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["ambiguous"]) == ("und", 0, True)
+            continue
+        data, counts = re.sub(r"[\W\d_]+", " ", f" {t} ").lower().encode(), np.zeros(language.FEATURES)
+        for n in (1, 2, 3):
+            for a in range(len(data) - n + 1):
+                h = 0
+                for b in data[a : a + n]:
+                    h = (h * 257 + b + 1) & 0xFFFFFFFF
+                counts[((h * 2654435761) & 0xFFFFFFFF) >> 20] += 1
+            if len(t) > 100_000:
+                break
+        if len(t) > 100_000:
+            assert got[i]["lang_pred"] == "aa"
+            continue
+        margins = np.sqrt(counts / counts.sum()) @ model.weights + model.bias
+        loss = {lang: sum(np.log1p(np.exp(-c * m)) for c, m in zip(word, margins, strict=True)) for lang, word in zip(model.languages, model.code, strict=True)}
+        odds = {lang: np.exp(-x) for lang, x in loss.items()}
+        shares = sorted((x / sum(odds.values()) for x in odds.values()), reverse=True)
+        assert got[i]["lang_pred"] == min(loss, key=loss.get) and got[i]["score"] == pytest.approx(shares[0], abs=1e-4)
+        assert got[i]["ambiguous"] == (shares[0] - shares[1] < language.LEAD)
+    assert language.identify(docs(spark, []), model).count() == 0
+    tie = language.Model(["x", "y"], np.array([[1], [1]]), np.zeros((language.FEATURES, 1), np.float32), np.zeros(1))
+    assert tie.predict("abc") == ("x", 0.5, True)
+
+
+def test_languages_beyond_the_sample_are_learned(spark):
+    rows = [(i, chr(97 + i % 8) * 3 + " " + chr(97 + i % 8) * 4, f"l{i % 8}") for i in range(80)] + [(None, f"{'z' * k} zz", "zz") for k in range(2, 9)]
+    model = language.fit(docs(spark, [(*r, None) for r in rows]), sample=4)
+    assert model.languages == [*(f"l{k}" for k in range(8)), "zz"]
+
+
+def test_many_codewords_keep_their_distance():
+    for n in (6, 30, 200):
+        words = language.codewords(n)
+        apart = [(words[i] != words[j]).sum() for i in range(n) for j in range(i)]
+        assert min(apart) >= 0.19 * words.shape[1] and (np.abs(words.sum(0)) < n).all()
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 40])
 def test_codewords_differ(n):
     code = language.codewords(n)
