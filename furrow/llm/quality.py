@@ -9,7 +9,6 @@ mean anything are guarded: they are judged by the base rules alone.
 Letters and blanks swamp rare classes in these two, so a third histogram has only
 symbols, words that repeat the word before them, and all other words. A text with
 more of the rare ones than its language is far from it at a small distance already.
-``kept`` is the verdict without the third histogram, ``clean`` the verdict with it.
 
 A language's reference is the sum of the histograms of all its documents, so it
 follows the corpus: one pass with map-side sums, one row for each language. The
@@ -39,7 +38,7 @@ GUARD_WORDS = 60
 #: Largest distances of a kept document.
 MOST_CHARS = 0.3
 MOST_WORDS = 0.5
-#: Largest distance of a clean document that has more rare classes than its language, and the share of them that is never odd.
+#: Largest distance of a kept document that has more rare classes than its language, and the share of them that is never odd.
 MOST_RARE = 0.12
 GUARD_RARE = 0.1
 
@@ -175,7 +174,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
 
 
 def assess(docs: DataFrame, text: str = "text", lang: str = "lang", out: str = "quality") -> DataFrame:
-    """docs with a struct column ``out``: the base measures, base_failed, the three distances, kept, clean.
+    """docs with a struct column ``out``: the base measures, base_failed, the three distances, kept.
 
     A null or empty text has no words, fails the base rules and isn't kept. A null
     language is compared with all texts of null language. Where a distance is
@@ -203,7 +202,6 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", out: str = "
             chars.alias("char_distance"),
             words.alias("word_distance"),
             rares.alias("rare_distance"),
-            (~failed & ~odd).alias("kept"),
-            (~failed & ~odd & ~F.coalesce(full, F.lit(False))).alias("clean"),
+            (~failed & ~odd & ~F.coalesce(full, F.lit(False))).alias("kept"),
         ),
     ).drop(*[c for c in (m, r) if c != out])

@@ -121,7 +121,7 @@ SQL["op9_urls"] = SQL["op9_urls"].replace("@SUFFIXES", ", ".join(f"'{s}'" for s
 
 
 def _quality_sql() -> str:
-    from furrow.llm.quality import COMMON, GUARD_CHARS, GUARD_WORDS, MIN_WORDS, MOST_CHARS, MOST_WORDS, REPEAT_PERCENT, REPEAT_WINDOW
+    from furrow.llm.quality import COMMON, GUARD_CHARS, GUARD_RARE, GUARD_WORDS, MIN_WORDS, MOST_CHARS, MOST_RARE, MOST_WORDS, REPEAT_PERCENT, REPEAT_WINDOW
 
     classes = ["[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?\x27\x22()\-]", "!", "[#*$%&|<>]", r"[^\x00-\x7F]"]
     counts = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in classes)
@@ -140,15 +140,21 @@ cc AS (SELECT rid, lang, length(t) AS n_chars, [{counts}] AS c FROM d),
 classes AS (SELECT rid, lang, i, CAST(CASE WHEN i <= {len(classes)} THEN c[i] ELSE n_chars - list_sum(c) END AS DOUBLE) AS v FROM cc, range(1, {len(classes) + 2}) r(i)),
 wc AS (SELECT rid, lang, len(fw) AS n, list_transform([{common}], lambda x: len(list_filter(fw, lambda y: y = x))) AS c FROM w),
 common AS (SELECT rid, lang, i, CAST(CASE WHEN i <= len(c) THEN c[i] ELSE n - list_sum(c) END AS DOUBLE) AS v FROM wc, range(1, {len(dict.fromkeys(COMMON)) + 2}) r(i)),
+rc AS (SELECT rid, lang, len(w) AS n, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS symbols, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS twice FROM w),
+rare AS (SELECT rid, lang, i, CAST([symbols, twice, n - twice][i] AS DOUBLE) AS v FROM rc, range(1, 4) r(i)),
+rare_ref AS (SELECT lang, i, sum(v) AS ref FROM rare GROUP BY ALL),
+shares AS (SELECT rid, sum(v) FILTER (i < 3) / nullif(sum(v), 0) AS share, sum(ref) FILTER (i < 3) / nullif(sum(ref), 0) AS ref_share FROM rare JOIN rare_ref USING (lang, i) GROUP BY rid),
+jr AS ({js % ("rare", "rare")}),
 classes_ref AS (SELECT lang, i, sum(v) AS ref FROM classes GROUP BY ALL), common_ref AS (SELECT lang, i, sum(v) AS ref FROM common GROUP BY ALL),
 jc AS ({js % ("classes", "classes")}), jw AS ({js % ("common", "common")}),
 m AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
       CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-      CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS n_chars, coalesce(jc.d, 0) AS dc, coalesce(jw.d, 0) AS dw
-      FROM w LEFT JOIN again USING (rid) LEFT JOIN jc USING (rid) LEFT JOIN jw USING (rid))
+      CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS n_chars, coalesce(jc.d, 0) AS dc, coalesce(jw.d, 0) AS dw,
+      coalesce(share > {GUARD_RARE} AND share > ref_share AND jr.d > {MOST_RARE}, false) AS full_of_rare
+      FROM w LEFT JOIN again USING (rid) LEFT JOIN jc USING (rid) LEFT JOIN jw USING (rid) LEFT JOIN jr USING (rid) LEFT JOIN shares USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
-       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words OR n_chars >= {GUARD_CHARS} AND dc > {MOST_CHARS} OR n_words >= {GUARD_WORDS} AND dw > {MOST_WORDS}) AS kept
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words OR n_chars >= {GUARD_CHARS} AND dc > {MOST_CHARS} OR n_words >= {GUARD_WORDS} AND dw > {MOST_WORDS} OR full_of_rare) AS kept
 FROM m
 """
 

@@ -198,8 +198,8 @@ def test_quality_counts_rare_classes(spark):
     rows = [(i, t, "en") for i, t in enumerate(plain + listed)]
     bad = [(100 + i, t, "en") for i, t in enumerate(table_rows + runs)]
     got = {r["doc_id"]: r["quality"] for r in quality.assess(docs(spark, rows + bad)).collect()}
-    assert all(got[i]["kept"] and got[i]["clean"] for i, *_ in rows)
-    assert not any(got[i]["clean"] for i, *_ in bad) and all(got[i]["kept"] for i, *_ in bad[:12])
+    assert all(got[i]["kept"] for i, *_ in rows)
+    assert not any(got[i]["kept"] for i, *_ in bad) and not any(got[i]["base_failed"] for i, *_ in bad[:12])
     corpus = docs(spark, rows + bad)
     stage = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, corpus, "").collect()}
     assert stage == {i for i, *_ in rows}
