@@ -53,28 +53,37 @@ MOMENTS = ("m_n", "m_a", "m_p", "m_aa", "m_pp", "m_ap", "m_dd")
 
 
 def moments(actual: str, predicted: str) -> list[Column]:
-    """Sums over complete pairs from which n, r and RMSE follow, and which add up over groups.
+    """n, means, centred sums of squares and products, and squared differences over complete pairs, from which n, r and RMSE follow.
 
-    One aggregation at the finest level serves all coarser ones, so the rows are
-    scanned and shuffled once however many poolings there are.
+    They add up over groups, so one aggregation at the finest level serves all
+    coarser ones: the rows are scanned and shuffled once however many poolings there
+    are. Centred sums keep their digits where means are large beside the spread.
     """
     both = F.col(actual).isNotNull() & F.col(predicted).isNotNull()
-    a, p = F.when(both, F.col(actual)), F.when(both, F.col(predicted))
-    sums = (F.count(a), F.sum(a), F.sum(p), F.sum(a * a), F.sum(p * p), F.sum(a * p), F.sum((a - p) * (a - p)))
-    return [c.alias(name) for name, c in zip(MOMENTS, sums, strict=True)]
-
-
-def added_up() -> list[Column]:
-    return [F.sum(name).alias(name) for name in MOMENTS]
+    a, p = F.when(both, F.col(actual).cast("double")), F.when(both, F.col(predicted).cast("double"))
+    n = F.count(a)
+    found = (n, F.avg(a), F.avg(p), n * F.var_pop(a), n * F.var_pop(p), n * F.covar_pop(a, p), F.sum((a - p) * (a - p)))
+    return [c.alias(name) for name, c in zip(MOMENTS, found, strict=True)]
+
+
+def added_up(fine: DataFrame, *by: str) -> DataFrame:
+    """The moments of coarser groups: each finer group adds its own spread and that of its mean around the common one."""
+    w, n = Window.partitionBy(*by), F.col("m_n")
+    mean = {c: F.try_divide(F.sum(n * F.col(c)).over(w), F.sum(n).over(w)) for c in ("m_a", "m_p")}
+    off = fine.withColumns({f"_{c}": m for c, m in mean.items()})
+    da, dp = F.col("m_a") - F.col("_m_a"), F.col("m_p") - F.col("_m_p")
+    return off.groupBy(*by).agg(
+        F.sum("m_n").alias("m_n"), F.first("_m_a").alias("m_a"), F.first("_m_p").alias("m_p"), F.sum(F.col("m_aa") + n * da * da).alias("m_aa"),
+        F.sum(F.col("m_pp") + n * dp * dp).alias("m_pp"), F.sum(F.col("m_ap") + n * da * dp).alias("m_ap"), F.sum("m_dd").alias("m_dd"),
+    )
 
 
 def from_moments() -> list[Column]:
     """n, r (null without variance) and e (RMSE)."""
-    n = F.col("m_n")
-    va, vp = n * F.col("m_aa") - F.col("m_a") * F.col("m_a"), n * F.col("m_pp") - F.col("m_p") * F.col("m_p")
-    # Differences of sums that only rounding keeps from zero count as no variance.
-    varies = (va > 1e-12 * n * F.col("m_aa")) & (vp > 1e-12 * n * F.col("m_pp"))
-    r = F.when(varies, F.try_divide(n * F.col("m_ap") - F.col("m_a") * F.col("m_p"), F.sqrt(va) * F.sqrt(vp)))
+    n, va, vp = F.col("m_n"), F.col("m_aa"), F.col("m_pp")
+    # A spread that only rounding of the means keeps from zero counts as none.
+    varies = (va > 1e-24 * n * F.col("m_a") * F.col("m_a")) & (vp > 1e-24 * n * F.col("m_p") * F.col("m_p"))
+    r = F.when(varies, F.try_divide(F.col("m_ap"), F.sqrt(va) * F.sqrt(vp)))
     return [n.alias("n"), r.alias("r"), F.sqrt(F.try_divide("m_dd", "m_n")).alias("e")]
 
 
@@ -82,7 +91,7 @@ def score_by_label(df: DataFrame, label: str, block: str, actual: str, predicted
     """n, rmse and Pearson's r of each label, and its block correlations pooled."""
     fine = df.groupBy(label, block).agg(*moments(actual, predicted))
     pooled = fine.select(label, *from_moments()).groupBy(label).agg(X.pooled_correlation_strict("r", "n").alias("r_w"), X.blocks_used("r", "n").alias("blocks"))
-    flat = fine.groupBy(label).agg(*added_up()).select(label, *from_moments()).withColumnsRenamed({"r": "pearson", "e": "rmse"})
+    flat = added_up(fine, label).select(label, *from_moments()).withColumnsRenamed({"r": "pearson", "e": "rmse"})
     return flat.join(pooled, label, "left")
 
 

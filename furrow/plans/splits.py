@@ -163,9 +163,9 @@ def c19_final_summary(t: Tables) -> DataFrame:
     seeds = fine.select("model", "seed", *S.from_moments()).where(usable).groupBy("model", "seed").agg(*pooled)
     kernel = seeds.groupBy("model").agg(
         F.avg("correlation").alias("correlation"), F.stddev_samp("correlation").alias("correlation_sd"), F.avg("rmse").alias("rmse"), F.count("*").alias("seeds"))
-    places = fine.groupBy("model", "env").agg(*S.added_up()).select("model", *S.from_moments())
+    places = S.added_up(fine, "model", "env").select("model", *S.from_moments())
     loeo = places.where(usable).groupBy("model").agg(*pooled)
-    flat = fine.groupBy("model").agg(*S.added_up()).select("model", *S.from_moments()).select("model", F.col("r").alias("correlation"), F.col("e").alias("rmse"))
+    flat = S.added_up(fine, "model").select("model", *S.from_moments()).select("model", F.col("r").alias("correlation"), F.col("e").alias("rmse"))
     parts = [df.withColumn("method", F.lit(name)) for name, df in (("kernel", kernel), ("loeo", loeo), ("pooled", flat))]
     out = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     return out.select("method", "model", *(rounded(c).alias(c) for c in ("correlation", "correlation_sd", "rmse")), "seeds")
