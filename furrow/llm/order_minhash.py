@@ -56,7 +56,7 @@ BLOCK_KMERS = 500_000
 
 _SEEDS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-#: Bytes of a row of step 3 without its k-mers, at most.
+#: Bytes of a row of step 3 without sketches and k-mers, at most.
 CLOSE_BYTES = 100
 
 SKETCHED = "struct<unit: binary, n: long, buckets: array<long>>"
@@ -256,13 +256,12 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
         .select("bucket", "least", "times")
     )
     members = settle(keys.join(counted, "bucket").select("bucket", "unit", "least", "times"))
-    # What a unit is compared with first: the least unit of most of its buckets, itself where that is no other.
-    votes = members.groupBy("unit", "least").agg(F.sum("times").alias("times"))
-    most = F.max_by("least", F.struct("times", F.col("least") != F.col("unit"), "least"))
-    first = settle(votes.groupBy("unit").agg(most.alias("first"), F.max("times").alias("times")))
-    firsts = first.where((F.col("times") >= SHARED) & (F.col("unit") != F.col("first"))).select("unit", "first")
+    # What a unit is compared with first: the unit that, beside itself, is the least one of most of its buckets.
+    votes = members.where("unit != least").groupBy("unit", "least").agg(F.sum("times").alias("times"))
+    most = votes.groupBy("unit").agg(F.max_by("least", F.struct("times", "least")).alias("first"), F.max("times").alias("times"))
+    firsts = settle(most.where(F.col("times") >= SHARED).select("unit", "first"))
     heads = firsts.select(F.col("first").alias("unit"), F.lit(True).alias("head")).distinct()
-    one = units.select("unit", F.col("copy").alias("one")).join(first.select("unit"), "unit").join(firsts, "unit", "left").join(heads, "unit", "left")
+    one = units.select("unit", F.col("copy").alias("one")).join(members.select("unit").distinct(), "unit").join(firsts, "unit", "left").join(heads, "unit", "left")
     # The join's own partitioning by row key serves the grouping too: equal rows of one unit are one.
     candidates = settle(
         docs.select(F.col(text).alias("text"), copy.alias("one")).join(settle(one), "one")
@@ -292,7 +291,7 @@ def _rest(members: DataFrame, units: DataFrame, kmers: DataFrame, found: DataFra
         .where("parts > 1").drop("parts")
     )
     sized = settle(
-        placed.join(mixed, "bucket").withColumn("asks", F.col("component") != F.col("main")).drop("main")
+        placed.join(_hinted(mixed), "bucket").withColumn("asks", F.col("component") != F.col("main")).drop("main")
         .join(units.select("unit", F.col("n").alias("k"), "buckets"), "unit")
     )
     blocks = settle(
@@ -301,7 +300,7 @@ def _rest(members: DataFrame, units: DataFrame, kmers: DataFrame, found: DataFra
             F.ceil(F.sum("k") / BLOCK_KMERS).alias("all_blocks"),
         )
     )
-    at = sized.join(blocks, "bucket")
+    at = sized.join(_hinted(blocks), "bucket")
     spot, row = F.xxhash64("unit"), ["bucket", "unit", "component", "buckets"]
     asking = at.where("asks").select(
         *row, "asks", F.pmod(spot, "ask_blocks").alias("i"),
@@ -312,17 +311,22 @@ def _rest(members: DataFrame, units: DataFrame, kmers: DataFrame, found: DataFra
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("ask_blocks") - 1)).alias("i"), F.pmod(spot, "all_blocks").alias("j"),
     )
     kind = "bucket long, i long, j long, unit binary, component binary, asks boolean"
-    close = settle(asking.unionByName(asked).groupBy("bucket", "i", "j").applyInPandas(close_ones, kind))
-    if close.count() * CLOSE_BYTES <= BROADCAST_BYTES:
-        close = F.broadcast(close)
+    # Dealt out by block: a join by bucket alone would satisfy the grouping and leave all blocks of a large bucket to one task.
+    dealt = asking.unionByName(asked).repartition("bucket", "i", "j")
+    close = settle(dealt.groupBy("bucket", "i", "j").applyInPandas(close_ones, kind))
     return (
-        close.join(kmers.select("unit", "kmers"), "unit")
+        _hinted(close).join(kmers.select("unit", "kmers"), "unit")
         .groupBy("bucket", "i", "j")
         .applyInPandas(links_between, "a binary, b binary")
         .distinct()
     )
 
 
+def _hinted(rows: DataFrame) -> DataFrame:
+    """Broadcast if the written rows, of known width, are counted to be few bytes."""
+    return F.broadcast(rows) if rows.count() * CLOSE_BYTES <= BROADCAST_BYTES else rows
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without near-duplicates: one row of each class stays, one with its least id.
 
