@@ -312,7 +312,9 @@ def _rest(members: DataFrame, units: DataFrame, kmers: DataFrame, found: DataFra
     )
     kind = "bucket long, i long, j long, unit binary, component binary, asks boolean"
     # Dealt out by block: a join by bucket alone would satisfy the grouping and leave all blocks of a large bucket to one task.
-    dealt = asking.unionByName(asked).repartition("bucket", "i", "j")
+    # The number is given, as these rows are few bytes for much work and would be put together into few tasks.
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asking.unionByName(asked).repartition(n, "bucket", "i", "j")
     close = settle(dealt.groupBy("bucket", "i", "j").applyInPandas(close_ones, kind))
     return (
         _hinted(close).join(kmers.select("unit", "kmers"), "unit")
