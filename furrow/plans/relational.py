@@ -230,11 +230,11 @@ def j04_inner_join(t: Tables) -> DataFrame:
     return t("orders", "o_orderkey", "o_custkey").join(t("customer", "c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@query("""SELECT k, a.n AS n_customers, b.n AS n_suppliers, c.n AS n_names FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 20 GROUP BY 1) a
+@query("""SELECT k, a.n AS n_customers, b.n AS n_suppliers, c.n AS n_names FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) a
           FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 3 GROUP BY 1) b USING (k)
           FULL JOIN (SELECT n_nationkey AS k, count(*) AS n FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1) c USING (k)""")
 def j05_full_outer_chain(t: Tables) -> DataFrame:
-    a = t("customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_customers"))
+    a = t("customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_customers"))
     b = t("supplier").where("s_nationkey > 3").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_suppliers"))
     c = t("nation").where("n_nationkey % 2 = 0").groupBy(F.col("n_nationkey").alias("k")).agg(F.count("*").alias("n_names"))
     return a.join(b, "k", "full").join(c, "k", "full")
@@ -410,9 +410,9 @@ def u01_intersection(t: Tables) -> DataFrame:
     return t("orders", "o_custkey").withColumnRenamed("o_custkey", "k").intersect(t("events", "user_id").withColumnRenamed("user_id", "k"))
 
 
-@query("SELECT user_id FROM events WHERE user_id IN (SELECT o_custkey FROM orders) AND user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 15) GROUP BY 1")
+@query("SELECT user_id FROM events WHERE user_id IN (SELECT o_custkey FROM orders) AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
 def u02_iterated_intersection(t: Tables) -> DataFrame:
-    sets = [t("orders", "o_custkey"), t("customer").where("c_nationkey < 15").select("c_custkey")]
+    sets = [t("orders", "o_custkey"), t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")]
     out = t("events", "user_id")
     for s in sets:
         out = out.intersect(s)
