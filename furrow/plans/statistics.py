@@ -191,7 +191,7 @@ def g25_allele_frequency(t: Tables) -> DataFrame:
     from furrow.operators.kernels import allele_frequencies
     from furrow.plans.kernels import dosages
 
-    return allele_frequencies(dosages(t, 1 << 40), "id", "d").select("locus", rounded("p").alias("p"))
+    return allele_frequencies(dosages(t), "id", "d").select("locus", rounded("p").alias("p"))
 
 
 @query("""WITH v AS (SELECT event_type AS env, var_samp(value) AS total, var_samp(value) FILTER (user_id % 2 = 0) AS g FROM events GROUP BY 1)
