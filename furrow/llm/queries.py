@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, decontaminate, html_text, language, mixing, order_minhash, quality, tokens, toxicity, url_filter
+from furrow.llm import chat, decontaminate, html_text, importance, infilling, language, mixing, order_minhash, quality, tokens, toxicity, url_filter
 from furrow.llm.shared import table
 from furrow.llm.sql import SQL
 
@@ -88,10 +88,25 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance.resample(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("infilling.output"), F.col("infilling.form")
+    return made.select(
+        "doc_id", "infilling.n", "infilling.form", "infilling.prefix_chars", "infilling.middle_chars",
+        F.sha2(output, 256).alias("output_sha256"), F.sha2(infilling.restored(output, form), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_mix_sources, op3_quality, op4_near_duplicates, op5_main_text,
-        op6_toxicity, op7_chat, op8_tokens, op9_urls, op10_languages,
+        op6_toxicity, op7_chat, op8_tokens, op9_urls, op10_languages, op12_importance, op13_fill_in_middle,
     )
 }

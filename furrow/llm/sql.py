@@ -160,3 +160,39 @@ FROM m
 
 
 SQL["op3_quality"] = _quality_sql()
+
+#: CRC-32 byte by byte, for each different word, with the table of the 256 bytes made by its rule.
+SQL["op12_importance"] = rf"""
+WITH bytes AS (SELECT list(CAST(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS BIGINT) ORDER BY b) AS made
+               FROM range(256) r(b)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+d AS (SELECT rid, unnest(w) AS word FROM docs), b AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM d UNION SELECT word FROM b)),
+hashed AS (SELECT word, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+                                    lambda c, x: xor(c >> 8, made[CAST((xor(c, x) & 255) + 1 AS BIGINT)])) AS c FROM words, bytes),
+crcs AS (SELECT word, xor(c, 4294967295) % 10000 AS bucket FROM hashed),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN crcs USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM b JOIN crcs USING (word) GROUP BY 1),
+sums AS (SELECT bucket, CAST(coalesce(s, 0) AS DOUBLE) AS s, CAST(coalesce(t, 0) AS DOUBLE) AS t FROM (SELECT range AS bucket FROM range(10000)) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+alls AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS BIGINT) AS gain FROM sums, alls),
+weights AS (SELECT rid, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM d JOIN crcs USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+           FROM docs LEFT JOIN weights USING (rid)),
+places AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () * 10 // 100 AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n THEN place END AS rank FROM scored LEFT JOIN places USING (rid)
+"""
+
+SQL["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+           coalesce(regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), []) AS u FROM documents),
+n AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS h1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS h2,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+           WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+cut AS (SELECT *, coalesce(array_to_string(list_slice(u, 1, CAST(least(h1, h2) AS BIGINT)), ''), '') AS p,
+        coalesce(array_to_string(list_slice(u, CAST(least(h1, h2) + 1 AS BIGINT), CAST(greatest(h1, h2) AS BIGINT)), ''), '') AS m,
+        coalesce(array_to_string(list_slice(u, CAST(greatest(h1, h2) + 1 AS BIGINT), n), ''), '') AS s FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM cut
+"""
