@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, decontaminate, html_text, importance, infilling, language, mixing, order_minhash, quality, tokens, toxicity, url_filter
+from furrow.llm import chat, decontaminate, html_text, importance, infilling, jaccard_join, language, mixing, order_minhash, quality, tokens, toxicity, url_filter
 from furrow.llm.shared import table
 from furrow.llm.sql import SQL
 
@@ -88,6 +88,10 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = importance.resample(docs, table(spark, sf_dir, "benchmark"))
@@ -107,6 +111,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_mix_sources, op3_quality, op4_near_duplicates, op5_main_text,
-        op6_toxicity, op7_chat, op8_tokens, op9_urls, op10_languages, op12_importance, op13_fill_in_middle,
+        op6_toxicity, op7_chat, op8_tokens, op9_urls, op10_languages, op11_jaccard_join, op12_importance, op13_fill_in_middle,
     )
 }

@@ -161,6 +161,22 @@ FROM m
 
 SQL["op3_quality"] = _quality_sql()
 
+#: All pairs of different sets that share a shingle, and all that can be reached over their links.
+SQL["op11_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingled AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM d),
+keyed AS (SELECT rid, doc_id, s, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) ELSE 'row ' || rid END AS k FROM shingled),
+sets AS (SELECT k, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS least FROM keyed GROUP BY k),
+e AS (SELECT k, n, unnest(s) AS e FROM sets),
+met AS (SELECT a.k AS a, b.k AS b, a.n AS n, b.n AS m, count(*) AS shared FROM e a JOIN e b ON a.e = b.e AND a.k < b.k AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM met WHERE 100 * shared >= 90 * (n + m - shared)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT k AS a, k AS b FROM sets UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
+found AS (SELECT r.a AS k, min(least) AS component_id FROM reach r JOIN sets ON r.b = sets.k GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id FROM keyed JOIN found USING (k)
+"""
+
 #: CRC-32 byte by byte, for each different word, with the table of the 256 bytes made by its rule.
 SQL["op12_importance"] = rf"""
 WITH bytes AS (SELECT list(CAST(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS BIGINT) ORDER BY b) AS made

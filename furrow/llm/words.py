@@ -17,6 +17,8 @@ FOLD = bytes(
 )
 #: White space of the size and quality contracts: 0x20 and 0x09-0x0D become a space.
 BLANKS = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+#: The same with A-Z lower-cased.
+LOWER_BLANKS = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in BLANKS)
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,12 +53,12 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(text: str | None, piece: int = 1 << 20) -> np.ndarray:
-    """One uint64 for each word of the text, in text order; equal words, equal hashes.
+def word_hashes(text: str | None, piece: int = 1 << 20, fold: bytes = FOLD) -> np.ndarray:
+    """One uint64 for each word of the text, in text order; equal words, equal hashes. ``fold`` leaves a space between words.
 
     Long texts are worked off in pieces cut between words, so memory stays small beside the text.
     """
-    data, at, found = utf8(text).translate(FOLD), 0, []
+    data, at, found = utf8(text).translate(fold), 0, []
     while at < len(data):
         end = data.find(b" ", at + piece) if at + piece < len(data) else -1
         end = len(data) if end < 0 else end

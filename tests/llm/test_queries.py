@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_tokens": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op9_urls": ["page_id", "host", "path", "rule", "verdict"],
     "op10_languages": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_jaccard_join": ["doc_id", "n_shingles", "component_id"],
     "op12_importance": ["doc_id", "n_features", "weight", "score", "rank"],
     "op13_fill_in_middle": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
