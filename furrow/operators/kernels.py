@@ -1,57 +1,16 @@
-"""Kernels over entities in long form (i, j, k), and genomic relationships.
-
-All pairs of n entities are n * n / 2 rows by definition. They are made by an
-equi-join on blocks of entities: every entity is sent to the blocks it meets, so
-that each task handles one pair of blocks and no side is broadcast or crossed.
-"""
+"""Kernels over entities in long form (i, j, k), and genomic relationships; pairs are made in blocks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.exprs import dot, squared_distance
-
-
-#: Entities in a block: a task pairs two blocks, so it makes at most about this squared.
-BLOCK = 1000
-
-
-def pairs(df: DataFrame, entity: str, columns: list[str], within: str | None = None) -> DataFrame:
-    """(i, j, <column>_i, <column>_j) for i <= j; within restricts pairs to equal values of a column.
-
-    The number of blocks follows the counted entities, so that a task's share doesn't grow with the table.
-    """
-    n = F.lit(max(4, -(-df.count() // BLOCK)))
-    block = F.pmod(F.xxhash64(entity), n)
-    keep = [entity, *columns, *([within] if within else [])]
-    base = df.select(*keep).withColumn("_b", block)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
-    sides = []
-    for side, here in (("i", True), ("j", False)):
-        spread = base.withColumn("_o", other)
-        row, column = (F.col("_b"), F.col("_o")) if here else (F.col("_o"), F.col("_b"))
-        sides.append(
-            spread.select(
-                row.alias("_r"), column.alias("_c"), F.col(entity).alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns),
-                *([F.col(within).alias("_w")] if within else []),
-            )
-        )
-    on = ["_r", "_c", *(["_w"] if within else [])]
-    return sides[0].join(sides[1], on).where("i <= j").drop(*on)
+from furrow.operators.blocks import kernel
 
 
 def pair_kernel(df: DataFrame, entity: str, features: str, kind: str = "linear", gamma: float | None = None, within: str | None = None) -> DataFrame:
-    """(i, j, k): linear (dot product over the number of features), dot, or rbf with gamma (1 / features by default)."""
-    wide = df.withColumn("_x", F.transform(features, lambda v: v.cast("double")))
-    p = pairs(wide, entity, ["_x"], within=within)
-    size = F.size("_x_i").cast("double")
-    if kind == "rbf":
-        g = F.lit(gamma) if gamma is not None else 1 / size
-        k: Column = F.exp(-g * squared_distance("_x_i", "_x_j"))
-    else:
-        k = dot("_x_i", "_x_j") if kind == "dot" else dot("_x_i", "_x_j") / size
-    return p.select("i", "j", k.alias("k"))
+    """(i, j, k), i <= j: linear (dot product over the number of features), dot, rbf, laplace or match; within restricts pairs to equal values of a column."""
+    return kernel(df, entity, [(features, kind, gamma)], within=within)
 
 
 def symmetric(kernel: DataFrame) -> DataFrame:
@@ -69,14 +28,6 @@ def centered(kernel: DataFrame) -> DataFrame:
     )
 
 
-def hadamard(*kernels: DataFrame) -> DataFrame:
-    """Elementwise product."""
-    out = kernels[0]
-    for other in kernels[1:]:
-        out = out.join(other.withColumnRenamed("k", "_k"), ["i", "j"]).select("i", "j", (F.col("k") * F.col("_k")).alias("k"))
-    return out
-
-
 def expand_kernel(kernel: DataFrame, rows: DataFrame, row: str, entity: str) -> DataFrame:
     """An entity kernel (both triangles) between observations: each pair of rows takes its entities' value."""
     a = rows.select(F.col(row).alias("i"), F.col(entity).alias("_ei"))
@@ -117,15 +68,16 @@ def relationship(dosages: DataFrame, entity: str, array: str, kind: str = "addit
         z = F.zip_with(array, "_p", lambda d, q: F.when(d == 0, -2 * q * q).when(d == 1, 2 * q * (1 - q)).otherwise(-2 * (1 - q) * (1 - q)))
         unit = lambda q: 4 * q * q * (1 - q) * (1 - q)
     scale = F.aggregate("_p", F.lit(0.0), lambda s, q: s + unit(q))
-    coded = coded.select(entity, z.alias("_z"), scale.alias("_s"))
-    p2 = pairs(coded, entity, ["_z", "_s"])
-    return p2.select("i", "j", F.coalesce(F.try_divide(dot("_z_i", "_z_j"), F.col("_s_i")), F.lit(0.0)).alias("k"))
+    # The scale is shared out between both sides; without a locus that varies all is 0.
+    root = F.coalesce(F.try_divide(F.lit(1.0), F.sqrt(scale)), F.lit(0.0))
+    coded = coded.select(entity, F.transform(z, lambda v: v * root).alias("_z"))
+    n, loci = dosages.agg(F.count("*"), F.max(F.size(array))).first()
+    return kernel(coded, entity, [("_z", "dot", None)], shape=(n, [max(loci or 0, 0)])).withColumn("k", F.coalesce("k", F.lit(0.0)))
 
 
 def near_identical(dosages: DataFrame, entity: str, array: str, above: float = 0.95) -> DataFrame:
     """Entities that match another one at more than the given share of loci; both of a pair are listed."""
-    same = F.aggregate(F.zip_with("_d_i", "_d_j", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = pairs(dosages.select(entity, F.col(array).alias("_d")), entity, ["_d"]).where("i != j").where(same / F.size("_d_i") > above)
+    close = kernel(dosages.select(entity, F.col(array).alias("_d")), entity, [("_d", "match", None)], above=above).where("i != j")
     return close.select(F.explode(F.array("i", "j")).alias(entity)).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions.exprs import correlation, rounded
+from furrow.operators import blocks as B
 from furrow.operators import kernels as K
 from furrow.operators import relational as R
 from furrow.plans.registry import Tables, query
@@ -70,7 +71,7 @@ _FULL = f"WITH {_X}, k AS (SELECT a.id AS i, b.id AS j, list_dot_product(a.e, b.
 @query(_FULL + """, r AS (SELECT i, avg(k) AS m FROM k GROUP BY 1), g AS (SELECT avg(m) AS g FROM r)
           SELECT k.i, k.j, round(k.k - a.m - b.m + g.g, 6) + 0.0 AS k FROM k JOIN r a ON a.i = k.i JOIN r b ON b.i = k.j, g""")
 def l03_centred_kernel(t: Tables) -> DataFrame:
-    return out(K.centered(K.symmetric(K.pair_kernel(vectors(t), "id", "embedding"))))
+    return out(B.kernel(vectors(t), "id", [("embedding", "linear", None)], centred=True))
 
 
 @query("SELECT label AS fold, CAST(least(max(rn), 20) AS INTEGER) AS used, max(rn) >= 20 AS enough FROM (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS rn FROM embeddings) GROUP BY 1")
@@ -81,14 +82,13 @@ def l05_component_slice(t: Tables) -> DataFrame:
 
 @query(_FULL + " SELECT k.i, k.j, round(k.k * exp(-abs(k.i - k.j) / 10.0), 6) + 0.0 AS k FROM k WHERE k.i <= k.j")
 def l07_hadamard_kernel(t: Tables) -> DataFrame:
-    a = K.pair_kernel(vectors(t), "id", "embedding")
-    b = a.select("i", "j", F.exp(-F.abs(F.col("i") - F.col("j")) / 10.0).alias("k"))
-    return out(K.hadamard(a, b))
+    placed = vectors(t).withColumn("at", F.array("id"))
+    return out(B.kernel(placed, "id", [("embedding", "linear", None), ("at", "laplace", 0.1)]))
 
 
 @query(f"WITH {_X} SELECT a.id AS i, b.id AS j, CAST(a.label = b.label AS INTEGER) AS k FROM x a JOIN x b ON a.id <= b.id")
 def l08_environment_identity(t: Tables) -> DataFrame:
-    return K.pairs(vectors(t), "id", ["label"]).select("i", "j", (F.col("label_i") == F.col("label_j")).cast("int").alias("k"))
+    return B.kernel(vectors(t).withColumn("env", F.array("label")), "id", [("env", "match", None)]).withColumn("k", F.col("k").cast("int"))
 
 
 _SCALED = f"""WITH {_X}, l AS (SELECT id, label, i AS pos, e[i] AS v FROM x, range(1, 65) r(i)),

@@ -1,13 +1,14 @@
 """Edge cases and invariants of the operators on tiny frames."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from furrow.functions import exprs as X
-from furrow.operators import curves, kernels, models, relational, scoring, splits, timeseries
+from furrow.operators import blocks, curves, kernels, models, relational, scoring, splits, timeseries
 from furrow.operators import registry
 from furrow.sources import files
 
@@ -165,6 +166,45 @@ def test_kernels_against_numpy(spark):
     assert z @ z.T == pytest.approx(k)
 
 
+def test_kernels_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    x, d = rng.normal(size=(41, 4)), rng.integers(0, 3, (41, 6))
+    names = [f"v{i:02d}" for i in range(41)]
+    df = frame(spark, [(n, a.tolist(), b.tolist(), i % 2) for i, (n, a, b) in enumerate(zip(names, x, d))], "id string, x array<double>, d array<int>, g int")
+    squares = ((x[:, None] - x[None]) ** 2).sum(-1)
+    same = (d[:, None] == d[None]).mean(-1)
+    for factors, want in [
+        ([("x", "dot", None)], x @ x.T), ([("x", "linear", None)], x @ x.T / 4), ([("x", "rbf", None)], np.exp(-squares / 4)),
+        ([("x", "laplace", 0.5)], np.exp(-0.5 * np.abs(x[:, None] - x[None]).sum(-1))), ([("d", "match", None)], same),
+        ([("x", "rbf", 0.3), ("d", "match", None), ("x", "dot", None)], np.exp(-0.3 * squares) * same * (x @ x.T)),
+    ]:
+        got = {(r["i"], r["j"]): r["k"] for r in blocks.kernel(df, "id", factors).collect()}
+        assert len(got) == 41 * 42 // 2
+        assert all(got[names[i], names[j]] == pytest.approx(want[i, j]) for i in range(41) for j in range(i, 41))
+    got = blocks.kernel(df, "id", [("d", "match", None)], within="g", above=0.4).collect()
+    assert {(r["i"], r["j"]) for r in got} == {(names[i], names[j]) for i in range(41) for j in range(i, 41, 2) if same[i, j] > 0.4}
+    k = np.exp(-squares / 4)
+    got = blocks.kernel(df, "id", [("x", "rbf", None)], centred=True).collect()
+    want = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    assert len(got) == 41 * 41 and all(r["k"] == pytest.approx(want[names.index(r["i"]), names.index(r["j"])]) for r in got)
+    # New rows against the 30 first, plain and centred with the means of these.
+    first, c = k[:30, :30], k[30:, :30]
+    for centred, want in [(False, c), (True, c - c.mean(1)[:, None] - first.mean(0) + first.mean())]:
+        got = blocks.cross_kernel(df.where("id >= 'v30'"), df.where("id < 'v30'"), "id", [("x", "rbf", None)], centred=centred).collect()
+        assert len(got) == 11 * 30 and all(r["k"] == pytest.approx(want[names.index(r["i"]) - 30, names.index(r["j"])]) for r in got)
+
+
+def test_kernels_of_odd_rows(spark):
+    rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, [float("nan"), 1.0])]
+    df = frame(spark, rows, "id int, x array<double>")
+    got = Counter((r["i"], r["j"], str(r["k"])) for r in blocks.kernel(df, "id", [("x", "dot", None)]).collect())
+    assert got[1, 1, "5.0"] == 4 and got[1, 2, "None"] == 2 and got[3, 3, "None"] == got[4, 4, "None"] == got[5, 5, "nan"] == 1
+    assert sum(got.values()) == 4 + 2 * 4 + 10
+    assert blocks.kernel(df.where("false"), "id", [("x", "dot", None)]).count() == 0
+    assert blocks.kernel(df.where("id = 2"), "id", [("x", "rbf", None)], centred=True).where("k IS NULL").count() == 1
+
+
+
 def test_mixed_model_finds_the_genotype_means(spark):
     rng = np.random.default_rng(3)
     rows = [("e", g, r, float(10 * g + 3 * (r % 4) + rng.normal(0, 0.1))) for g in range(4) for r in range(24)]
