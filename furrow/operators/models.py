@@ -55,7 +55,9 @@ def mixed_model(wtw: np.ndarray, wty: np.ndarray, yty: float, n: float, sizes: S
         vs, ve = new, max(ve_new, 1e-12)
         if done:
             break
-    return {"effects": solution[:p], "components": vs, "error": ve}
+    # The residual sum of squares at the conditional fit, from the same sums.
+    rss = max(float(yty - 2 * solution @ wty + solution @ wtw @ solution), 0.0)
+    return {"effects": solution[:p], "components": vs, "error": ve, "rss": rss, "n": n}
 
 
 def cross_counts(df: DataFrame, by: str, factors: Sequence[str], y: str) -> DataFrame:
@@ -106,17 +108,27 @@ def blues(df: DataFrame, by: str, genotype: str, factors: Sequence[str], y: str)
     return solved.select(by, F.col("level").cast(kinds[genotype]).alias(genotype), "blue")
 
 
-def variance_components(df: DataFrame, by: str, factors: Sequence[str], y: str) -> DataFrame:
-    """(by, grp, vcov, percent): all factors random, and the residual."""
-    kinds = dict(df.dtypes)
+def variance_components(df: DataFrame, by: str, factors: Sequence[str], y: str, replicate: str | None = None) -> DataFrame:
+    """(by, grp, vcov, sdcor, percent, rmse, r_squared, heritability): all factors random, and the residual.
+
+    rmse is of the residuals given the random effects, r_squared the conditional share (all
+    random variance over the total, as the fixed part is the mean alone). heritability is the
+    first factor's variance over itself plus the residual's by the number of levels of
+    ``replicate`` (one of factors; by default the last) that have a response. All
+    follow from the counts and sums of levels, without another pass over the rows.
+    """
+    kinds, at = dict(df.dtypes), 1 + (factors.index(replicate) if replicate else len(factors) - 1)
 
     def fit(cells: pd.DataFrame) -> pd.DataFrame:
-        _, _, m = solve_counts(cells, 1 + len(factors))
+        levels, _, m = solve_counts(cells, 1 + len(factors))
         v = np.array([*m["components"], m["error"]])
-        return pd.DataFrame({by: cells[by].iloc[0], "grp": [*factors, "residual"], "vcov": v, "percent": 100 * v / v.sum()})
+        return pd.DataFrame({
+            by: cells[by].iloc[0], "grp": [*factors, "residual"], "vcov": v, "sdcor": np.sqrt(v), "percent": 100 * v / v.sum(), "rmse": np.sqrt(m["rss"] / m["n"]),
+            "r_squared": v[:-1].sum() / v.sum(), "heritability": v[0] / (v[0] + v[-1] / len(levels[at])),
+        })
 
     counts = cross_counts(df.withColumn("_all", F.lit("all")), by, ["_all", *factors], y)
-    return counts.groupBy(by).applyInPandas(fit, f"{by} {kinds[by]}, grp string, vcov double, percent double")
+    return counts.groupBy(by).applyInPandas(fit, f"{by} {kinds[by]}, grp string, vcov double, sdcor double, percent double, rmse double, r_squared double, heritability double")
 
 
 # Cross products of features

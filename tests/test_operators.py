@@ -240,7 +240,8 @@ def test_mixed_models_from_counts_are_those_of_the_rows(spark):
     odd = [(1, None, "r1", 1, 5.0), (1, "g1", None, 1, 5.0), (2, "g1", "r1", None, 5.0), (2, "g1", "r1", 1, None), (2, "g1", "r1", 1, float("nan"))]
     df = frame(spark, rows + odd, "e int, g string, r string, s int, y double")
     got = {(r["e"], r["g"]): r["blue"] for r in models.blues(df, "e", "g", ["r", "s"], "y").collect()}
-    parts = {(r["e"], r["grp"]): r["vcov"] for r in models.variance_components(df, "e", ["g", "r", "s"], "y").collect()}
+    found = models.variance_components(df, "e", ["g", "r", "s"], "y").collect()
+    parts = {(r["e"], r["grp"]): r["vcov"] for r in found}
     for e in (1, 2):
         mine = [r for r in rows if r[0] == e]
         y = np.array([r[4] for r in mine])
@@ -250,6 +251,14 @@ def test_mixed_models_from_counts_are_those_of_the_rows(spark):
         assert [got[e, f"g{k}"] for k in range(5)] == pytest.approx(effects + y.mean(), abs=1e-3)
         _, vs, ve = dense_reml(y, np.ones((len(y), 1)), [g, r, s])
         assert [parts[e, k] for k in ("g", "r", "s", "residual")] == pytest.approx([*vs, ve], rel=1e-2, abs=1e-3)
+        # Dense residuals at these components: the error's variance times V^-1 (y - mean).
+        vs, ve = [parts[e, k] for k in ("g", "r", "s")], parts[e, "residual"]
+        inverse = np.linalg.inv(sum(v * z @ z.T for v, z in zip(vs, (g, r, s), strict=True)) + ve * np.eye(len(y)))
+        rest = ve * inverse @ (y - (inverse @ y).sum() / inverse.sum())
+        for row in (r for r in found if r["e"] == e):
+            assert row["rmse"] == pytest.approx(np.sqrt((rest**2).mean()), rel=1e-3)
+            assert row["r_squared"] == pytest.approx(sum(vs) / (sum(vs) + ve)) and row["heritability"] == pytest.approx(vs[0] / (vs[0] + ve / 4))
+            assert row["sdcor"] ** 2 == pytest.approx(row["vcov"])
     assert models.blues(df.limit(0), "e", "g", ["r"], "y").count() == 0
 
 
