@@ -133,11 +133,13 @@ def l12_score_alignment(t: Tables) -> DataFrame:
         rounded(F.max(F.when(g == 0, F.col("value")))).alias("s0"), rounded(F.max(F.when(g == 1, F.col("value")))).alias("s1"))
 
 
-@query(f"""WITH {_X} SELECT 'all' AS scope, round(avg(e[1]), 6) + 0.0 AS m, round(stddev_samp(e[1]), 6) AS s FROM x
-          UNION ALL SELECT 'train', round(avg(e[1]), 6) + 0.0, round(stddev_samp(e[1]), 6) FROM x WHERE label <> 3""")
+@query(f"""WITH {_X}, l AS (SELECT label, i - 1 AS pos, e[i] AS v FROM x, range(1, 65) r(i))
+          SELECT 'all' AS scope, CAST(pos AS INTEGER) AS pos, round(avg(v), 6) + 0.0 AS m, round(stddev_samp(v), 6) AS s FROM l GROUP BY pos
+          UNION ALL SELECT 'train', CAST(pos AS INTEGER), round(avg(v), 6) + 0.0, round(stddev_samp(v), 6) FROM l WHERE label <> 3 GROUP BY pos""")
 def l13_fit_scope(t: Tables) -> DataFrame:
-    x = vectors(t).select("label", F.get("embedding", F.lit(0)).cast("double").alias("v"))
-    stats = lambda df, scope: df.agg(F.lit(scope).alias("scope"), rounded(F.avg("v")).alias("m"), rounded(F.stddev_samp("v")).alias("s"))
+    """Each coordinate's scaling fitted on all rows and on the training rows."""
+    x = vectors(t).select("label", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+    stats = lambda df, scope: df.groupBy("pos").agg(rounded(F.avg("v")).alias("m"), rounded(F.stddev_samp("v")).alias("s")).select(F.lit(scope).alias("scope"), "pos", "m", "s")
     return stats(x, "all").unionByName(stats(x.where("label != 3"), "train"))
 
 
