@@ -12,6 +12,7 @@ from furrow.operators import curves as CU
 from furrow.operators import kernels as K
 from furrow.operators import models as M
 from furrow.operators import registry as E
+from furrow.operators import spectrum as SP
 from furrow.operators.timeseries import hash_ranked
 from furrow.plans.kernels import dosages, vectors
 from furrow.plans.registry import Tables, query
@@ -73,18 +74,26 @@ def f10_principal_components(t: Tables) -> DataFrame:
 
 @query()
 def l04_kernel_eigen(t: Tables) -> DataFrame:
-    values, _ = M.eigen(vectors(t), "embedding", 10)
-    return t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, value double")
+    """The centred kernel's largest values, with the residual that bounds each one's error."""
+    found = SP.spectrum(vectors(t), "id", "embedding", most=10)
+    rows = [(i, float(v), float(r)) for i, (v, r) in enumerate(zip(found.values, found.residuals, strict=True))]
+    return t.spark.createDataFrame(rows, "component int, value double, residual double")
 
 
 @query()
 def l06_eigen_projection(t: Tables) -> DataFrame:
-    return M.eigen_projection(vectors(t), "embedding", "id", 10)
+    """Scores under the kernel of all environments but one: V sqrt(D) of its rows, K V / sqrt(D) of those of the environment left out."""
+    train, new = vectors(t).where("label != 0"), vectors(t).where("label = 0 OR label IS NULL")
+    found = SP.spectrum(train, "id", "embedding", most=10)
+    return found.train().withColumn("train", F.lit(True)).unionByName(found.project(new, "embedding").withColumn("train", F.lit(False)))
 
 
 @query()
 def n05_relationship_features(t: Tables) -> DataFrame:
-    return M.eigen_projection(dosages(t).withColumn("d", F.transform("d", lambda v: v.cast("double"))), "d", "id", 5)
+    """V sqrt(D) of the additive relationship: the centred dosages' kernel over 2 * sum(p q) instead of the number of loci."""
+    found = SP.spectrum(dosages(t), "id", "d", most=5)
+    scale = K.allele_frequencies(dosages(t), "id", "d").agg(F.sqrt(F.try_divide(F.count("*"), F.sum(2 * F.col("p") * (1 - F.col("p"))))).alias("_s"))
+    return found.train().join(F.broadcast(scale), F.lit(True)).select("id", F.transform("z", lambda v: v * F.col("_s")).alias("z"))
 
 
 @query()
