@@ -81,6 +81,29 @@ def near_identical(dosages: DataFrame, entity: str, array: str, above: float = 0
     return close.select(F.explode(F.array("i", "j")).alias(entity)).distinct()
 
 
+#: Taxa of one block of a wide genotype table.
+TAXA = 256
+
+
+def wide_genotypes(dosages: DataFrame, taxon: Column, array: str) -> DataFrame:
+    """(block, taxa, locus, dosages): loci as rows and taxa as columns, as HapMap files hold them, cut into blocks of at most TAXA taxa.
+
+    Each block has its own header of taxa, so neither a row nor the plan grows with their number.
+    """
+    dealt = dosages.select(taxon.alias("taxon"), F.col(array).alias("_d"), F.floor(F.monotonically_increasing_id() / TAXA).alias("block"))
+    block = dealt.groupBy("block").agg(F.collect_list(F.struct("taxon", "_d")).alias("_b"))
+    loci = F.sequence(F.lit(0), F.array_max(F.transform("_b", lambda e: F.size(e["_d"]))) - 1)
+    rows = block.where(F.exists("_b", lambda e: F.size(e["_d"]) > 0)).select("block", "_b", F.explode(loci).alias("locus"))
+    held = F.filter("_b", lambda e: F.size(e["_d"]) > F.col("locus"))
+    return rows.select("block", F.transform(held, lambda e: e["taxon"]).alias("taxa"), "locus", F.transform(held, lambda e: F.get(e["_d"], F.col("locus"))).alias("dosages"))
+
+
+def long_genotypes(wide: DataFrame) -> DataFrame:
+    """(locus, taxon, dosage) of all columns of a wide genotype table."""
+    cells = wide.select("locus", F.explode(F.arrays_zip("taxa", "dosages")).alias("c"))
+    return cells.select("locus", F.col("c.taxa").alias("taxon"), F.col("c.dosages").alias("dosage"))
+
+
 def peaks(scan: DataFrame, by: list[str], pos: str, lod: str, threshold: float, drop: float) -> DataFrame:
     """Each group's highest position above threshold, with the contiguous support around it that stays within drop of the peak."""
     w = Window.partitionBy(*by)

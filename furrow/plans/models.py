@@ -362,11 +362,7 @@ def s09_vcf_samples(t: Tables) -> DataFrame:
 
 @query("""SELECT CAST(i - 1 AS INTEGER) AS locus, 'taxon' || vec_id AS taxon, CASE WHEN CAST(embedding[i] AS DOUBLE) < -0.05 THEN 0 WHEN CAST(embedding[i] AS DOUBLE) < 0.05 THEN 1 ELSE 2 END AS dosage FROM embeddings, range(1, 65) r(i)""")
 def s10_wide_genotypes(t: Tables) -> DataFrame:
-    d = dosages(t)
-    ids = [r["id"] for r in d.select("id").distinct().orderBy("id").collect()]
-    wide = d.groupBy().pivot("id", ids).agg(F.first("d"))
-    long = wide.select(F.posexplode(F.arrays_zip(*(f"`{i}`" for i in ids))).alias("locus", "z")).select("locus", *(F.col(f"z.`{i}`").alias(f"taxon{i}") for i in ids))
-    return long.unpivot(["locus"], [f"taxon{i}" for i in ids], "taxon", "dosage")
+    return K.long_genotypes(K.wide_genotypes(dosages(t), F.concat(F.lit("taxon"), "id"), "d"))
 
 
 @query("""SELECT vec_id AS id, list_aggregate(list_transform(CAST(embedding AS DOUBLE[]), lambda v: CASE WHEN v < -0.05 THEN 0 WHEN v < 0.05 THEN 1 ELSE 2 END), 'string_agg', '') AS dosage FROM embeddings""")

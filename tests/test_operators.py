@@ -146,6 +146,15 @@ def test_monomorphic_loci_count_for_nothing(spark):
     assert {r["k"] for r in kernels.relationship(flat, "id", "d").collect()} == {0.0}
 
 
+def test_wide_genotypes_are_cut_into_blocks(spark):
+    rows = [(i, [(i + k) % 3 for k in range(4)]) for i in range(600)] + [(7, [2, 2, 2, 2]), (600, [1]), (601, []), (602, None), (603, [None, 1, 0, 2])]
+    df = frame(spark, rows, "id int, d array<int>").repartition(2)
+    wide = kernels.wide_genotypes(df, F.concat(F.lit("taxon"), "id"), "d").persist()
+    assert wide.columns == ["block", "taxa", "locus", "dosages"] and wide.select(F.max(F.size("taxa"))).first()[0] <= kernels.TAXA
+    got = Counter((r["locus"], r["taxon"], r["dosage"]) for r in kernels.long_genotypes(wide).collect())
+    assert got == Counter((k, f"taxon{i}", v) for i, d in rows for k, v in enumerate(d or []))
+
+
 def test_near_identical_leaves_the_border_out(spark):
     base = [0] * 20
     rows = [(0, base), (1, base), (2, [1] + base[1:]), (3, [2] * 20)]
