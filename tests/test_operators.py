@@ -214,6 +214,23 @@ def test_kernels_of_odd_rows(spark):
 
 
 
+def test_rows_are_sent_to_the_blocks_of_their_own_group(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 10)
+    x = np.random.default_rng(4).normal(size=(200, 3)).astype(np.float32)
+    df = frame(spark, [(i, v.tolist(), i % 10) for i, v in enumerate(x)], "id int, x array<float>, g int")
+    met, _, _ = blocks._paired(df, "id", [("x", "dot", None)], [], "g", None)
+    assert met.count() == 200 * 2 and dict(met.dtypes)["_x0"] == "array<float>"
+    got = {(r["i"], r["j"]): r["k"] for r in blocks.kernel(df, "id", [("x", "dot", None)], within="g", digits=3).collect()}
+    assert set(got) == {(i, j) for i in range(200) for j in range(i, 200, 10)}
+    k = x.astype(float) @ x.T.astype(float)
+    assert all(abs(v - k[i, j]) < 0.000501 and v == round(v, 3) for (i, j), v in got.items())
+
+
+def test_rounding_is_half_away_from_zero():
+    assert blocks._rounded(np.array([0.125, -0.125, 2.5]), 2).tolist() == [0.13, -0.13, 2.5]
+    assert np.signbit(blocks._rounded(np.array([-0.001]), 2)).tolist() == [False]
+
+
 def test_mixed_model_finds_the_genotype_means(spark):
     rng = np.random.default_rng(3)
     rows = [("e", g, r, float(10 * g + 3 * (r % 4) + rng.normal(0, 0.1))) for g in range(4) for r in range(24)]
