@@ -231,6 +231,18 @@ def test_rounding_is_half_away_from_zero():
     assert np.signbit(blocks._rounded(np.array([-0.001]), 2)).tolist() == [False]
 
 
+def test_one_centred_dot_product_is_made_once(spark):
+    x = np.random.default_rng(9).normal(size=(30, 4)) + 5
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)] + [(30, None), (31, [1.0, None, 2.0, 3.0]), (32, [1.0])], "id int, x array<double>")
+    found = blocks.kernel(df, "id", [("x", "linear", None)], centred=True)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    k = x @ x.T / 4
+    want = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    got = {(r["i"], r["j"]): r["k"] for r in found.collect()}
+    assert len(got) == 33 * 33 and all(got[i, j] == pytest.approx(want[i, j]) for i in range(30) for j in range(30))
+    assert all((got[i, j] is None) == (i >= 30 or j >= 30) for i, j in got)
+
+
 def test_mixed_model_finds_the_genotype_means(spark):
     rng = np.random.default_rng(3)
     rows = [("e", g, r, float(10 * g + 3 * (r % 4) + rng.normal(0, 0.1))) for g in range(4) for r in range(24)]
