@@ -64,3 +64,8 @@ def test_queries_without_a_twin_take_all_vectors(spark):
     assert QUERIES["s14_serialized_objects"](spark, FOLDER).count() == len(table)
     taxa = QUERIES["s10_wide_genotypes"](spark, FOLDER).groupBy("taxon").count().collect()
     assert {r["taxon"] for r in taxa} == {f"taxon{i}" for i in ids} and {r["count"] for r in taxa} == {64}
+
+
+def test_observations_take_their_environments_kernel_in_blocks(spark):
+    plan = QUERIES["l10_weather_kernel"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("FlatMapGroupsInArrow") < plan.index("Join")
