@@ -243,6 +243,20 @@ def test_one_centred_dot_product_is_made_once(spark):
     assert all((got[i, j] is None) == (i >= 30 or j >= 30) for i, j in got)
 
 
+def test_links_beyond_the_own_block(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 6)
+    rng = np.random.default_rng(12)
+    d = rng.integers(0, 3, (60, 16))
+    d[40], d[50] = d[3], np.where(np.arange(16) < 12, d[7], (d[7] + 1) % 3)
+    rows = [(i, v.tolist()) for i, v in enumerate(d)] + [(9, d[9].tolist()), (60, None), (61, [1] * 3), (None, d[3].tolist())]
+    same = (d[:, None] == d[None]).mean(-1)
+    np.fill_diagonal(same, 0)
+    for above in (0.5, 0.7, 0.75, 1.0):
+        got = [r["id"] for r in kernels.near_identical(frame(spark, rows, "id int, d array<int>"), "id", "d", above=above).collect()]
+        assert sorted(got) == np.flatnonzero((same > above).any(1)).tolist()
+    assert blocks.linked(frame(spark, rows[:0], "id int, d array<int>"), "id", ("d", "match", None), 0.5).count() == 0
+
+
 def test_mixed_model_finds_the_genotype_means(spark):
     rng = np.random.default_rng(3)
     rows = [("e", g, r, float(10 * g + 3 * (r % 4) + rng.normal(0, 0.1))) for g in range(4) for r in range(24)]
