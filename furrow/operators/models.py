@@ -8,18 +8,20 @@ the same numbers.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.exprs import dot, hash_order
+from furrow.functions.exprs import dot
+from furrow.operators.timeseries import hash_ranked
 from furrow.sources.files import landed
 
 
@@ -440,13 +442,18 @@ class Scan:
         return zy, yy, {name: self.ratio(name, zy, yy) for name in self.parts}
 
 
+def complete(genotypes: DataFrame, dosage: str, responses: Sequence[str]) -> DataFrame:
+    """The entities that have all dosages and responses."""
+    whole = F.forall(dosage, lambda v: v.isNotNull())
+    for r in responses:
+        whole &= F.col(r).isNotNull() & ~F.isnan(F.col(r).cast("double"))
+    return genotypes.where(whole)
+
+
 def scan_products(genotypes: DataFrame, dosage: str, responses: Sequence[str]) -> np.ndarray:
     """Cross products of (1, dosages, responses) over the entities that have all of them: one pass, loci squared on the driver."""
-    known = [F.col(r).cast("double") for r in responses]
-    complete = F.forall(dosage, lambda v: v.isNotNull())
-    for r in known:
-        complete &= r.isNotNull() & ~F.isnan(r)
-    return matrix(cross_products(genotypes.where(complete), F.concat(F.array(F.lit(1.0)), doubles(dosage), F.array(*known))))
+    known = F.array(*(F.col(r).cast("double") for r in responses))
+    return matrix(cross_products(complete(genotypes, dosage, responses), F.concat(F.array(F.lit(1.0)), doubles(dosage), known)))
 
 
 def genome_scan(genotypes: DataFrame, dosage: str, responses: Sequence[str], chromosomes: Sequence) -> tuple[Scan, DataFrame]:
@@ -460,45 +467,116 @@ def genome_scan(genotypes: DataFrame, dosage: str, responses: Sequence[str], chr
     return scan, genotypes.sparkSession.createDataFrame(rows, "trait string, chr string, locus int, lod double")
 
 
+#: Entities whose permuted responses meet in one group, at most; values that a task deals at a time.
+DEALT, SLAB = 2048, 1 << 19
+
+
+def places(perm: int, at: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where a permutation of 0 ... n - 1 puts each of at, from its number alone: no sort, and no other place is needed.
+
+    Eight rounds of a Feistel network keyed by MD5 of seed, permutation and round; what falls
+    outside is put through again until it is inside.
+    """
+    half = np.uint64(max(1, -(-(n - 1).bit_length() // 2)))
+    mask = np.uint64((1 << int(half)) - 1)
+    keys = [np.uint64(int.from_bytes(hashlib.md5(f"{seed}|{perm}|{k}".encode()).digest()[:8], "little")) for k in range(8)]
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> half, v & mask
+        for key in keys:
+            x = right ^ key
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((x ^ (x >> np.uint64(31))) & mask)
+        return (left << half) | right
+
+    out = once(at.astype(np.uint64))
+    while len(outside := np.flatnonzero(out >= n)):
+        out[outside] = once(out[outside])
+    return out.astype(np.int64)
+
+
 def permuted(traits: DataFrame, entity: str, times: int, seed: int) -> DataFrame:
-    """(entity, trait, perm, y): responses dealt anew among the entities of a trait, by two hash orders."""
-    perms = traits.sparkSession.range(times).withColumnRenamed("id", "perm")
-    each = traits.join(F.broadcast(perms), F.lit(True))
-    place = F.row_number().over(Window.partitionBy("trait", "perm").orderBy(hash_order(seed, "perm", entity), entity))
-    source = F.row_number().over(Window.partitionBy("trait").orderBy(entity))
-    ordered = traits.select("trait", source.alias("at"), "y")
-    return each.select("trait", "perm", entity, place.alias("at")).join(ordered, ["trait", "at"]).select(entity, "trait", "perm", "y")
+    """(entity, trait, perm, y): responses dealt anew among the entities of a trait, which are numbered in hash order."""
+    kinds = dict(traits.dtypes)
+    numbered = landed(hash_ranked(traits.select("trait", entity, F.col("y").cast("double").alias("y")), seed, entity, "_at", "_n", by=["trait"]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, sizes = (batch.column(k).to_numpy() for k in (1, 2))
+            for perm in range(times):
+                to = np.empty_like(at)
+                for n in np.unique(sizes):
+                    to[sizes == n] = places(perm, at[sizes == n] - 1, int(n), seed) + 1
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(at), perm)), pa.array(to), batch.column(3)], ["trait", "perm", "_at", "y"])
+
+    dealt = numbered.select("trait", "_at", "_n", "y").mapInArrow(deal, f"trait {kinds['trait']}, perm long, _at long, y double")
+    return dealt.join(numbered.select("trait", "_at", entity), ["trait", "_at"]).select(entity, "trait", "perm", "y")
 
 
 def permutation_lods(genotypes: DataFrame, entity: str, dosage: str, responses: Sequence[str], chromosomes: Sequence, times: int = 1000, seed: int = 3) -> DataFrame:
     """(trait, perm, lod): the largest LOD of each permutation of a response, kinship and variance ratio as in the unpermuted scan.
 
-    Products of the loci with all permutations are grouped sums over entities; loci
-    times permutations of them reach the driver, whatever the entities.
+    Responses are dealt as ``permuted`` deals them. Each goes once for each permutation to the group of at most DEALT
+    entities where its new one is, packed in arrays; the products with the loci are made there and summed by task.
+    Loci times permutations of them reach the driver, whatever the entities.
     """
     scan, _ = genome_scan(genotypes, dosage, responses, chromosomes)
-    traits = genotypes.select(entity, *(F.col(r).cast("double").alias(r) for r in responses)).unpivot([entity], list(responses), "trait", "y")
-    dealt = permuted(traits, entity, times, seed).groupBy(entity, "trait").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "y"))), lambda p: p["y"]).alias("ys"))
-    met = dealt.join(genotypes.select(entity, doubles(dosage).alias("_d")), entity)
+    n, traits, loci = int(scan.n), len(responses), scan.loci
+    known = complete(genotypes, dosage, responses).select(entity, doubles(dosage).alias("_d"), F.array(*(F.col(r).cast("double") for r in responses)).alias("_y"))
+    numbered = landed(hash_ranked(known, seed, entity, "_at", "_n").select((F.col("_at") - 1).alias("_at"), "_d", "_y"))
+    held = max(1, min(DEALT, -(-n // 32)))
+    groups = max(1, -(-n // held))
 
-    def partial(batches):
-        totals: dict[str, np.ndarray] = {}
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, y = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, traits)
+            step = max(1, SLAB // len(at))
+            for first in range(0, times, step):
+                perms = np.arange(first, min(first + step, times))
+                to = np.concatenate([places(int(p), at, n, seed) for p in perms])
+                order = np.argsort(to // held, kind="stable")
+                ends = np.searchsorted(to[order] // held, np.arange(groups + 1)).astype(np.int32)
+                cells = (np.repeat(perms, len(at)) * held + to % held)[order].astype(np.int32)
+                values = np.tile(y, (len(perms), 1))[order].ravel()
+                lists = [pa.ListArray.from_arrays(pa.array(ends * k), pa.array(v)) for k, v in ((1, cells), (traits, values))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(groups)), *lists], ["group", "cells", "ys"])
+
+    def products(owners: pa.Table, sent: pa.Table) -> pa.Table:
+        y, d = np.zeros((times * held, traits)), np.zeros((held, loci))
+        d[owners["_at"].to_numpy() % held] = owners["_d"].combine_chunks().flatten().to_numpy().reshape(-1, loci)
+        y[sent["cells"].combine_chunks().flatten().to_numpy()] = sent["ys"].combine_chunks().flatten().to_numpy().reshape(-1, traits)
+        found = [(y[:, t].reshape(times, held) @ d).T for t in range(traits)]
+        return pa.table({
+            "trait": pa.array(np.repeat(np.arange(traits), loci)), "i": pa.array(np.tile(np.arange(loci), traits)),
+            "row": pa.array(np.concatenate(found).tolist(), pa.list_(pa.float64())),
+        })
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((traits * loci, times))
         for batch in batches:
-            for trait in set(batch.column(0).to_pylist()):
-                mine = batch.filter(pc.equal(batch.column(0), trait))
-                d, y = (mine.column(k).flatten().to_numpy(zero_copy_only=False).reshape(mine.num_rows, -1) for k in (1, 2))
-                totals[trait] = d.T @ y + totals.get(trait, 0)
-        for trait, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([trait] * len(total)), pa.array(range(len(total)), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["trait", "i", "row"])
-
-    parts = met.select("trait", "_d", "ys").mapInArrow(partial, "trait string, i int, row array<double>")
+            at = batch.column(0).to_numpy() * loci + batch.column(1).to_numpy()
+            np.add.at(total, at, batch.column(2).flatten().to_numpy().reshape(-1, times))
+        if total.any():
+            at = np.arange(traits * loci)
+            yield pa.RecordBatch.from_arrays([pa.array(at // loci), pa.array(at % loci), pa.array(total.tolist(), pa.list_(pa.float64()))], ["trait", "i", "row"])
+
+    tasks = min(groups, 400)
+    sent = numbered.select("_at", "_y").mapInArrow(deal, "group long, cells array<int>, ys array<double>").repartition(tasks, "group").groupBy("group")
+    owners = numbered.select(F.floor(F.col("_at") / held).alias("group"), "_at", "_d").repartition(tasks, "group").groupBy("group")
+    rows_of = "trait long, i long, row array<double>"
+    parts = owners.cogroup(sent).applyInArrow(products, rows_of).mapInArrow(partial, rows_of)
     sums = parts.select("trait", "i", F.posexplode("row").alias("j", "v")).groupBy("trait", "i", "j").agg(F.sum("v").alias("v"))
     got = sums.groupBy("trait", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda x: x["v"]).alias("row")).collect()
+    found = np.zeros((traits, loci, times))
+    for r in got:
+        found[r["trait"], r["i"]] = r["row"]
     rows = []
     for t, name in enumerate(responses):
         _, yy, ratios = scan.trait(t)
-        zy = np.array([r["row"] for r in sorted((r for r in got if r["trait"] == name), key=lambda r: r["i"])])
-        zy = zy - scan.n * np.outer(scan.means[: scan.loci], np.full(times, scan.means[scan.loci + t]))
+        zy = found[t] - scan.n * np.outer(scan.means[:loci], np.full(times, scan.means[loci + t]))
         rows += [(name, k, float(lod)) for k, lod in enumerate(scan.lods(zy.T, yy, ratios).max(1))]
     return genotypes.sparkSession.createDataFrame(rows, "trait string, perm int, lod double")
 

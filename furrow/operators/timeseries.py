@@ -89,22 +89,22 @@ def draw(df: DataFrame, k: int | Column, seed: int | str, key: Sequence[str], by
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def hash_ranked(df: DataFrame, seed: int | str, key: str, rank: str = "rank", n: str = "n") -> DataFrame:
-    """df with each row's place in the order of a hash of seed and key, and the number of rows.
+def hash_ranked(df: DataFrame, seed: int | str, key: str, rank: str = "rank", n: str = "n", by: Sequence[str] = ()) -> DataFrame:
+    """df with each row's place in the order of a hash of seed and key, within by, and the number of rows.
 
     Rows are ranked within the 4096 prefixes of the hash, and the counts of the
     prefixes before are added: no task ranks all rows, and what is broadcast has
     at most 4096 rows.
     """
     prefixed = df.withColumn("_h", hash_order(seed, key)).withColumn("_q", F.substring("_h", 1, 3))
-    every = Window.partitionBy(F.lit(0))
-    before = prefixed.groupBy("_q").agg(F.count("*").alias("_c")).select(
-        "_q",
+    every = Window.partitionBy(*by or [F.lit(0)])
+    before = prefixed.groupBy(*by, "_q").agg(F.count("*").alias("_c")).select(
+        *by, "_q",
         F.coalesce(F.sum("_c").over(every.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_c").over(every).alias(n),
     )
-    within = F.row_number().over(Window.partitionBy("_q").orderBy("_h", key))
-    ranked = prefixed.withColumn("_r", within).join(F.broadcast(before), "_q")
+    within = F.row_number().over(Window.partitionBy(*by, "_q").orderBy("_h", key))
+    ranked = prefixed.withColumn("_r", within).join(F.broadcast(before), [*by, "_q"])
     return ranked.withColumn(rank, F.col("_before") + F.col("_r")).drop("_h", "_q", "_r", "_before")
 
 

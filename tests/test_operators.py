@@ -395,6 +395,31 @@ def test_genome_scan_is_that_of_a_dense_solve(spark):
     assert blups[0] < blups[1] < blups[2]
 
 
+def test_permutations_need_no_sort(spark):
+    for n in (1, 2, 90, 257, 1000):
+        one, two = (models.places(k, np.arange(n), n, 3) for k in (0, 1))
+        assert sorted(one) == sorted(two) == list(range(n)) and (n < 90 or (one != two).any())
+        assert models.places(0, np.array([n - 1]), n, 3)[0] == one[-1]
+    # Each place is taken about equally often by each of 7 rows.
+    taken = np.zeros((7, 7))
+    for k in range(7000):
+        taken[np.arange(7), models.places(k, np.arange(7), 7, 3)] += 1
+    assert ((taken - 1000) ** 2 / 1000).sum() < 75  # chi-squared with 36 degrees of freedom: exceeded with a chance of 0.0002
+    rng = np.random.default_rng(1)
+    d, y = rng.integers(0, 3, (300, 6)), rng.normal(size=(300, 2))
+    rows = [(i, d[i].tolist(), *y[i].tolist()) for i in range(300)] + [(300, None, 1.0, 1.0), (301, [1] * 6, None, 1.0)]
+    df = frame(spark, rows, "id int, d array<int>, a double, b double")
+    lods = {(r["trait"], r["perm"]): r["lod"] for r in models.permutation_lods(df, "id", "d", ["a", "b"], list("xxxyyy"), times=5, seed=4).collect()}
+    scan, _ = models.genome_scan(df, "d", ["a", "b"], list("xxxyyy"))
+    tall = df.where("id < 300").unpivot(["id"], ["a", "b"], "trait", "y")
+    dealt = {(r["trait"], r["perm"], r["id"]): r["y"] for r in models.permuted(tall, "id", 5, 4).collect()}
+    for t, name in enumerate("ab"):
+        _, yy, ratios = scan.trait(t)
+        for k in range(5):
+            zy = (d - d.mean(0)).T @ [dealt[name, k, i] for i in range(300)]
+            assert lods[name, k] == pytest.approx(scan.lods(zy[None, :], yy, ratios).max(), rel=1e-6)
+
+
 def test_principal_curves(spark):
     rng = np.random.default_rng(5)
     rows = []
