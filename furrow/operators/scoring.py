@@ -35,10 +35,82 @@ def average_rank(by: Sequence[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
 
 
+#: Steps of a binary search among 63 bounds of intervals, and the interval of nulls.
+STEPS = (32, 16, 8, 4, 2, 1)
+NULLS = 2 * sum(STEPS) + 1
+
+
+def with_number_below(df: DataFrame, value: str, bounds: Column, out: str) -> DataFrame:
+    """How many of the sorted bounds are less than a value. A step of the search is a column of its own, as subqueries can't stand in lambdas."""
+    df = df.withColumn(out, F.lit(0))
+    for step in STEPS:
+        df = df.withColumn(out, F.col(out) + F.when(F.get(bounds, F.col(out) + step - 1) < F.col(value), step).otherwise(0))
+    return df
+
+
+def ranked_by_interval(df: DataFrame, by: Sequence[str], order: Sequence[str], bounds: Column, interval: str, rank: str, average: bool) -> DataFrame:
+    """The interval of each row in the order, and its rank among the rows of its group in that interval.
+
+    Intervals keep the order, so a rank in the group is the rank in the interval and the
+    number of rows in those below. Interval 2k lies above k bounds of the first column; a value that
+    reaches over two bounds has 2k+1 to itself, which the next column divides. If none is left to
+    divide, all rows of it are equal: with average they get 0 and stay with the part of the table they come from.
+    """
+    out = df.withColumns({interval: F.lit(0), "_equal": F.lit(True)})
+    for c in order:
+        fills = (F.get(bounds[c], F.col("_at")) == F.col(c)) & (F.get(bounds[c], F.col("_at") + 1) == F.col(c))
+        out = with_number_below(out, c, bounds[c], "_at")
+        out = out.withColumn("_at", F.when(F.col(c).isNull(), NULLS).otherwise(2 * F.col("_at") + F.coalesce(fills, F.lit(False)).cast("int")))
+        out = out.withColumns({interval: F.col(interval) * (NULLS + 1) + F.when(F.col("_equal"), F.col("_at")).otherwise(0), "_equal": F.col("_equal") & (F.col("_at") % 2 == 1)})
+    part = F.when(F.col("_equal"), F.spark_partition_id()).otherwise(-1) if average else F.lit(-1)
+    w = Window.partitionBy(*by, interval, "_part").orderBy(*map(F.asc_nulls_last, order))
+    mean = F.when(F.col("_equal"), 0.0).otherwise((F.rank().over(w) + F.count("*").over(w)) / 2.0)
+    return out.withColumn("_part", part).withColumn(rank, mean if average else F.row_number().over(w).cast("double")).drop("_at", "_equal", "_part")
+
+
+def rank_correlation(df: DataFrame, by: Sequence[str], x: Sequence[str], y: Sequence[str], average: bool) -> DataFrame:
+    """Correlation of the ranks in the orders x and y, null if either is constant; no task sorts a whole group.
+
+    Rows are ranked in intervals of about a 64th of all rows, and sums over pairs of intervals
+    are moved by the rows below them. Bounds are approximate quantiles, the ranks are exact.
+    """
+    columns = list(dict.fromkeys([*x, *y]))
+    shares = [k / (sum(STEPS) + 1) for k in range(1, sum(STEPS) + 1)]
+    bounds = df.agg(F.struct(*(F.percentile_approx(c, shares).alias(c) for c in columns)).alias("bounds")).scalar()
+    ranked = ranked_by_interval(df.select(*by, *columns), by, x, bounds, "_x", "_rx", average)
+    ranked = ranked_by_interval(ranked.select(*by, *y, "_x", "_rx"), by, y, bounds, "_y", "_ry", average)
+    rx, ry = F.col("_rx"), F.col("_ry")
+    cells = ranked.groupBy(*by, "_x", "_y").agg(
+        F.count("*").alias("n"), F.sum(rx).alias("x"), F.sum(ry).alias("y"), F.sum(rx * rx).alias("xx"), F.sum(ry * ry).alias("yy"), F.sum(rx * ry).alias("xy"),
+    )
+    group, n = Window.partitionBy(*by), F.col("n")
+
+    def shift(interval: str, ranks: str) -> Column:
+        """What lies between a rank in an interval and the rank in the group, less the group's mean rank."""
+        here = F.sum(n).over(Window.partitionBy(*by, interval))
+        below = F.sum(n).over(group.orderBy(interval)) - here
+        return below + F.when(F.col(ranks) == 0, (here + 1) / 2.0).otherwise(0.0) - (F.sum(n).over(group) + 1) / 2.0
+
+    sx, sy = F.col("_sx"), F.col("_sy")
+    sums = cells.withColumns({"_sx": shift("_x", "x"), "_sy": shift("_y", "y")}).groupBy(*by).agg(
+        F.sum("n").cast("double").alias("n"),
+        F.sum(n * sx * sx + 2 * sx * F.col("x") + F.col("xx")).alias("xx"),
+        F.sum(n * sy * sy + 2 * sy * F.col("y") + F.col("yy")).alias("yy"),
+        F.sum(n * sx * sy + sx * F.col("y") + sy * F.col("x") + F.col("xy")).alias("xy"),
+    )
+    # Ranks that differ have a sum of squares of n(n-1)/4 at least; what is less comes from rounding.
+    least = n * (n - 1) / 8
+    varies = (n > 1) & (F.col("xx") > least) & (F.col("yy") > least)
+    return sums.select(*by, F.when(varies, F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))).alias("rho"))
+
+
 def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumns({"_x": average_rank(by, x), "_y": average_rank(by, y)})
-    return ranked.groupBy(*by).agg(X.correlation("_x", "_y").alias("rho"))
+    return rank_correlation(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, [x], [y], average=True)
+
+
+def spearman_ordinal(df: DataFrame, by: Sequence[str], x: str, y: str, key: str) -> DataFrame:
+    """Of equal values that with the lesser key comes first; 0 for a constant, which only a single row has."""
+    return rank_correlation(df, by, [x, key], [y, key], average=False).withColumn("rho", F.coalesce("rho", F.lit(0.0)))
 
 
 def hierarchical_mean(df: DataFrame, by: Sequence[str], levels: Sequence[str], value: str) -> DataFrame:

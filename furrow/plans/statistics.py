@@ -97,9 +97,7 @@ def g10_spearman(t: Tables) -> DataFrame:
 @query("""WITH k AS (SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS DOUBLE) AS x, CAST(row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS DOUBLE) AS y FROM events)
           SELECT event_type, round(coalesce(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 0), 6) AS rho FROM k GROUP BY 1""")
 def g11_spearman_ordinal(t: Tables) -> DataFrame:
-    rank = lambda c: F.row_number().over(Window.partitionBy("event_type").orderBy(c, "event_id"))
-    ranked = t("events", "event_type", "event_id", "value", "user_id").withColumns({"x": rank("value"), "y": rank("user_id")})
-    return ranked.groupBy("event_type").agg(rounded(F.coalesce(X.correlation("x", "y"), F.lit(0.0))).alias("rho"))
+    return S.spearman_ordinal(t("events", "event_type", "event_id", "value", "user_id"), ["event_type"], "value", "user_id", "event_id").withColumn("rho", rounded("rho"))
 
 
 @query("""SELECT user_id, round(coalesce(CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END, 0), 6) AS r

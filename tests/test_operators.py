@@ -1,6 +1,7 @@
 """Edge cases and invariants of the operators on tiny frames."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -30,6 +31,51 @@ def test_correlation_status(spark):
     assert got["ok"][0] == "ok" and got["few"] == ("insufficient", None) and got["nan"] == ("missing", None) and got["flat"] == ("zero variance", None)
 
 
+def test_ranks_of_a_group_come_from_intervals(spark):
+    rng = np.random.default_rng(14)
+    groups = {
+        "wide": (rng.lognormal(0, 9, 3000), rng.normal(1e9, 1, 3000)), "ties": (rng.integers(0, 40, 2000) * 1.0, rng.integers(0, 5, 2000) * 1.0),
+        "heavy": (np.where(rng.random(2500) < 0.8, 7.0, rng.normal(7, 1, 2500)), np.where(rng.random(2500) < 0.7, -1.0, rng.normal(0, 1, 2500))),
+        "nan": (np.array([1.0, math.nan, math.nan, -math.inf, 0.0, -0.0]), np.array([3.0, 1.0, 2.0, 5.0, 4.0, 4.0])), None: (np.arange(50.0), np.arange(50.0) ** 2),
+        "flat": (np.full(900, 7.0), rng.normal(0, 1, 900)), "flat too": (rng.normal(0, 1, 300), np.full(300, 0.123)), "one": (np.array([7.0]), np.array([1.0])),
+    }
+    rows = [(g, float(a), float(b), i) for g, (x, y) in groups.items() for i, (a, b) in enumerate(zip(x, y))]
+    df = frame(spark, rows + [("heavy", None, 1.0, -1), ("heavy", 1.0, None, -2)], "g string, x double, y double, id long")
+
+    def average(v):
+        _, at, n = np.unique(v + 0.0, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2.0)[at]
+
+    got = {r["g"]: r["rho"] for r in scoring.spearman(df, ["g"], "x", "y").collect()}
+    assert got.keys() == groups.keys() and got["flat"] is None and got["flat too"] is None and got["one"] is None
+    for g in ("wide", "ties", "heavy", "nan", None):
+        assert got[g] == pytest.approx(np.corrcoef(average(groups[g][0]), average(groups[g][1]))[0, 1], abs=1e-12)
+    ordinal = {r["g"]: r["rho"] for r in scoring.spearman_ordinal(df.where("id >= 0"), ["g"], "x", "y", "id").collect()}
+    assert ordinal["one"] == 0 and ordinal.keys() == groups.keys()
+    for g in groups.keys() - {"one"}:
+        x, y = (np.argsort(np.argsort(v, kind="stable"), kind="stable") for v in groups[g])
+        assert ordinal[g] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-12)
+
+
+def windows_of_ranks(df):
+    return re.findall(r"Window \[(?:rank|row_number)\(.*?\], \[(.*?)\], \[", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_no_rank_is_made_over_a_whole_group(spark):
+    df = spark.range(5000).selectExpr("id % 1 AS g", "id * 7919 % 5003 AS x", "id * 31 % 977 AS y", "id")
+    made = windows_of_ranks(scoring.spearman(df, ["g"], "x", "y"))
+    assert len(made) == 2 and all("," in columns for columns in made)
+    made = windows_of_ranks(scoring.spearman_ordinal(df, ["g"], "x", "y", "id"))
+    assert len(made) == 2 and all("," in columns for columns in made)
+
+
+def test_heavy_values_have_an_interval_of_their_own(spark):
+    bounds = spark.range(1).selectExpr("named_struct('x', array(" + ", ".join(["5.0D"] * 50 + [f"{k}.0D" for k in range(6, 19)]) + ")) AS b").scalar()
+    heavy = spark.range(0, 4000, 1, 4).selectExpr("'all' AS g", "IF(id % 10 > 0, 5.0D, id / 200.0D) AS x")
+    got = scoring.ranked_by_interval(heavy, ["g"], ["x"], bounds, "i", "r", True).groupBy("i").agg(F.count("*").alias("n"), F.max("r").alias("r")).collect()
+    assert {r["i"]: r["r"] for r in got}[1] == 0 and max(r["n"] for r in got if r["i"] != 1) <= 101
+
+
 def test_pooled_correlations_differ_at_one(spark):
     df = frame(spark, [(1.0, 5), (0.5, 10), (0.2, 2), (None, 9)], "r double, n int")
     a, b, k = df.agg(X.pooled_correlation("r", "n"), X.pooled_correlation_strict("r", "n"), X.blocks_used("r", "n")).first()
