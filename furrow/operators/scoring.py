@@ -76,7 +76,7 @@ def rank_correlation(df: DataFrame, by: Sequence[str], x: Sequence[str], y: Sequ
     """
     columns = list(dict.fromkeys([*x, *y]))
     shares = [k / (sum(STEPS) + 1) for k in range(1, sum(STEPS) + 1)]
-    bounds = df.agg(F.struct(*(F.percentile_approx(c, shares).alias(c) for c in columns)).alias("bounds")).scalar()
+    bounds = df.agg(F.struct(*(F.percentile_approx(c, shares, 1000).alias(c) for c in columns)).alias("bounds")).scalar()
     ranked = ranked_by_interval(df.select(*by, *columns), by, x, bounds, "_x", "_rx", average)
     ranked = ranked_by_interval(ranked.select(*by, *y, "_x", "_rx"), by, y, bounds, "_y", "_ry", average)
     rx, ry = F.col("_rx"), F.col("_ry")
