@@ -289,6 +289,45 @@ def test_one_centred_dot_product_is_made_once(spark):
     assert all((got[i, j] is None) == (i >= 30 or j >= 30) for i, j in got)
 
 
+def bytes_of_a_row(df, path):
+    import pyarrow.parquet as pq
+
+    df.write.parquet(str(path))
+    groups = [f.row_group(g) for f in (pq.ParquetFile(p).metadata for p in path.glob("*.parquet")) for g in range(f.num_row_groups)]
+    n = sum(g.num_rows for g in groups)
+    return n, {g.path_in_schema: sum(h.column(c).total_compressed_size for h in groups) / n for c, g in enumerate(groups[0].column(c) for c in range(3))}
+
+
+def test_ids_and_mirrored_values_take_few_bytes_in_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 3)
+    x = np.random.default_rng(21).normal(size=(3000, 8))
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    n, width = bytes_of_a_row(blocks.kernel(df, "id", [("x", "linear", None)], digits=3), tmp_path / "half")
+    assert n == 3000 * 3001 // 2 and width["i"] + width["j"] < 0.25
+    n, width = bytes_of_a_row(blocks.kernel(df, "id", [("x", "linear", None)], centred=True, digits=4), tmp_path / "both")
+    assert n == 3000 * 3000 and width["i"] + width["j"] < 0.25 and width["k"] < 1.5
+
+
+@pytest.mark.parametrize("shape", [(23, 31), (4, 6), (1, 1)])
+def test_pairs_leave_a_block_whole_in_any_order(monkeypatch, shape):
+    for name, value in {"STRIP": 60, "CYCLE": 5, "PIECE": (2, 3)}.items():
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(22)
+    n, m = shape
+    k = rng.normal(size=shape)
+    a, b, known = rng.permutation(n), rng.permutation(m) + n, rng.random(shape) < 0.9
+    odd = np.where(rng.random(shape) < 0.3, rng.choice([0.0, -0.0, math.nan, math.inf, -math.inf, 1e18, 0.125], shape), k)
+    cells = lambda parts: Counter((int(i), int(j), str(v + 0.0), bool(w)) for p in parts for i, j, v, w in zip(p[0], p[1], p[2], np.ones(len(p[2]), bool) if p[3] is None else p[3], strict=True))
+    want = lambda v, w, keep: Counter((int(a[p]), int(b[q]), str(v[p, q] + 0.0), bool(w[p, q])) for p in range(n) for q in range(m) if keep[p, q])
+    every, some = np.ones(shape, bool), rng.random(shape) < 0.6
+    for wanted in (None, some):
+        values = lambda at, of: (odd[at, of], known[at, of], None if wanted is None else wanted[at, of])
+        keep = every if wanted is None else wanted
+        assert cells(blocks._cycles(values, a, b, False, False)) == want(odd, known, keep)
+        both = want(odd, known, keep)
+        assert cells(blocks._cycles(values, a, b, False, True)) == both + Counter({(j, i, v, w): c for (i, j, v, w), c in both.items()})
+
+
 def test_links_beyond_the_own_block(spark, monkeypatch):
     monkeypatch.setattr(blocks, "ROWS", 6)
     rng = np.random.default_rng(12)
