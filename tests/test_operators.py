@@ -308,9 +308,17 @@ def test_ids_and_mirrored_values_take_few_bytes_in_files(spark, tmp_path, monkey
     assert n == 3000 * 3000 and width["i"] + width["j"] < 0.25 and width["k"] < 1.5
 
 
+def test_values_too_many_for_a_dictionary_take_fewer_bytes_in_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "LEAST", 2)
+    x = np.random.default_rng(23).normal(size=(3000, 64)) / 8
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    n, width = bytes_of_a_row(blocks.kernel(df, "id", [("x", "dot", None)], digits=6), tmp_path / "k")
+    assert n == 3000 * 3001 // 2 and sum(width.values()) < 7.5
+
+
 @pytest.mark.parametrize("shape", [(23, 31), (4, 6), (1, 1)])
 def test_pairs_leave_a_block_whole_in_any_order(monkeypatch, shape):
-    for name, value in {"STRIP": 60, "CYCLE": 5, "PIECE": (2, 3)}.items():
+    for name, value in {"STRIP": 60, "CYCLE": 5, "PIECE": (2, 3), "SORTED": 100}.items():
         monkeypatch.setattr(blocks, name, value)
     rng = np.random.default_rng(22)
     n, m = shape
@@ -326,6 +334,13 @@ def test_pairs_leave_a_block_whole_in_any_order(monkeypatch, shape):
         assert cells(blocks._cycles(values, a, b, False, False)) == want(odd, known, keep)
         both = want(odd, known, keep)
         assert cells(blocks._cycles(values, a, b, False, True)) == both + Counter({(j, i, v, w): c for (i, j, v, w), c in both.items()})
+        for v in (k, odd):
+            values = lambda at, of: (v[at, of].copy(), None, None if wanted is None else wanted[at, of])
+            with np.errstate(invalid="ignore"):
+                assert cells(blocks._by_size(values, a, b, 2)) == want(blocks._rounded(v, 2), every, keep)
+    order = np.concatenate([p[2] for p in blocks._by_size(lambda at, of: (k[at, of], None, None), a, b, 2)])
+    top = int(np.argmax(order))
+    assert (np.diff(order[: top + 1]) >= 0).all() and (np.diff(order[top + 1 :]) <= 0).all()
 
 
 def test_links_beyond_the_own_block(spark, monkeypatch):
